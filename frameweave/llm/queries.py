@@ -9,6 +9,7 @@ from ..session import cut, load
 from .clusters import cluster_members, describe
 from .encode import build_lexicon, count_tokens, encode
 from .mixing import plan_mix, shares
+from .neighbours import asset_neighbours, pairs_found, valid_vectors
 from .ranking import counting_choices, global_ranks, set_winners, strengths
 from .survivors import preferred_copies
 
@@ -33,6 +34,24 @@ def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return describe(cut(cluster_members(load(spark, sf, "fingerprint_evidence"))))
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Both vector tables as ``kind, asset_id, vec``; fingerprints have 64 values and are one kind."""
+    sem = valid_vectors(load(spark, sf, "semantic_vector"), "compatibility_key", "asset_id", "vector_values", "embedded_at")
+    fin = load(spark, sf, "fingerprint_evidence").select(F.lit("fingerprint").alias("kind"), "asset_id", "embedding")
+    return sem.select(F.concat(F.lit("semantic/"), "kind").alias("kind"), "asset_id", "vec").unionByName(valid_vectors(fin, "kind", "asset_id", "embedding", length=64))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of assets of which one is among the 5 most similar of the other."""
+    found = pairs_found(asset_neighbours(_vectors(spark, sf)))
+    return found.select(F.split_part("kind", F.lit("/"), F.lit(1)).alias("vector_kind"), F.col("a").alias("asset_a"), F.col("b").alias("asset_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar other assets of every asset and kind, with their cosine."""
+    return asset_neighbours(_vectors(spark, sf))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """The globally strongest asset of each set with three or more compared assets."""
     choices = cut(counting_choices(load(spark, sf, "pairwise_preference")))
@@ -74,7 +93,8 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_clusters": p5_clusters, "p7_found": p7_found,
+    "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours, "p7_found": p7_found,
     "p7_ranking": p7_ranking, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
 }
 
