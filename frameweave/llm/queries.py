@@ -11,6 +11,7 @@ from .encode import build_lexicon, count_tokens, encode
 from .mixing import plan_mix, shares
 from .neighbours import asset_neighbours, pairs_found, valid_vectors
 from .ranking import counting_choices, global_ranks, set_winners, strengths
+from .reading import fit_from_tables, score_documents
 from .survivors import preferred_copies
 
 
@@ -92,10 +93,22 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(cut(mix), targets)
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The reading band of every document with prose."""
+    docs = load(spark, sf, "documents")
+    return score_documents(docs, fit_from_tables(docs, load(spark, sf, "reading_label"))).select("doc_id", "reading_band")
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Score and band of every document with prose."""
+    docs = load(spark, sf, "documents")
+    return score_documents(docs, fit_from_tables(docs, load(spark, sf, "reading_label"))).withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
     "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found,
     "p6_neighbours": p6_neighbours, "p7_found": p7_found,
-    "p7_ranking": p7_ranking, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p7_ranking": p7_ranking, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores,
 }
 
 _COPIES = r"""
