@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, load
+from .canonical import match_metadata
 from .clusters import cluster_members, describe
 from .encode import build_lexicon, count_tokens, encode
 from .mixing import plan_mix, shares
@@ -15,6 +16,17 @@ from .reading import fit_from_tables, score_documents
 from .survivors import preferred_copies
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The entry of the gear list that each written make, model and lens means, -1 if none."""
+    return match_metadata(load(spark, sf, "media_metadata"), load(spark, sf, "gear_ref")).select("metadata_id", "field_name", "ref_id")
+
+
+def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Written values that mean no entry, with the number of rows that hold them."""
+    got = match_metadata(load(spark, sf, "media_metadata"), load(spark, sf, "gear_ref"))
+    return got.where("ref_id = -1").groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """The copy to deliver of each asset with at least two copies, one of them available."""
     return preferred_copies(load(spark, sf, "delivery_source")).where("n_copies >= 2 and n_available >= 1").select("asset_id", "file_instance_id")
@@ -106,7 +118,7 @@ def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found,
+    "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found,
     "p6_neighbours": p6_neighbours, "p7_found": p7_found,
     "p7_ranking": p7_ranking, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores,
 }
