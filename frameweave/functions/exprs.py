@@ -241,15 +241,21 @@ def softmax(logits: list[Column], temperature: Column | float = 1.0) -> list[Col
 
 
 def sharpness_band(score: str | Column) -> Column:
-    """By 62, 38 and 20."""
+    """By 62, 38 and 20; null for null."""
     s = c(score)
-    return F.when(s.isNull(), "unavailable").when(s >= 62, "sharp").when(s >= 38, "soft").when(s >= 20, "blurred").otherwise("severe")
+    return F.when(s >= 62, "excellent").when(s >= 38, "good").when(s >= 20, "review").when(s < 20, "low_detail")
+
+
+def blur_level(sharpness: str | Column, directional_ratio: str | Column) -> Column:
+    """Low from 42; high and moderate need directional evidence; everything else is uncertain."""
+    s, d = c(sharpness), c(directional_ratio)
+    return F.when(s >= 42, "low").when((d < 0.32) & (s < 20), "high").when((d < 0.52) & (s < 34), "moderate").when(s.isNotNull(), "uncertain")
 
 
 def quality_band(score: str | Column, highlights: str | Column, shadows: str | Column) -> Column:
-    """Strong from 76 with little clipping, then 54 and 30."""
+    """Strong from 76 with under 5 % highlights and 12 % shadows clipped, then 54 and 30; null for null."""
     s = c(score)
-    return F.when(s.isNull(), "unavailable").when((s >= 76) & (c(highlights) < 0.05) & (c(shadows) < 0.12), "strong").when(s >= 54, "usable").when(s >= 30, "weak").otherwise("poor")
+    return F.when((s >= 76) & (c(highlights) < 5) & (c(shadows) < 12), "strong").when(s >= 54, "good").when(s >= 30, "review").when(s < 30, "technical_issue")
 
 
 def suggestion_confidence(technical: str | Column, grouped: str | Column, closed_eyes: str | Column) -> Column:
