@@ -22,7 +22,7 @@ def _level(outputs: DataFrame, items: DataFrame, key_out: Column, key_item: Colu
     few = keyed.withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy("item_id"))).where(F.col("_r") <= EXPOSED)
     n = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
     per = few.groupBy("_k").agg(F.sort_array(F.collect_list("item_id")).alias("ids")).join(n, "_k")
-    return outputs.withColumn("_k", key_out).join(per, "_k").select("output_id", F.struct(F.lit(level).alias("level"), "n", "ids").alias(level))
+    return outputs.withColumn("_k", key_out).join(per, "_k").select("output_id", F.struct(F.lit(level).alias("level"), "n", "ids").alias(f"_{level}"))
 
 
 def cascade_match(outputs: DataFrame, items: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def cascade_match(outputs: DataFrame, items: DataFrame) -> DataFrame:
     out = outputs
     for level, (a, b) in keys.items():
         out = out.join(_level(outputs, items, a, b, level), "output_id", "left")
-    hit = F.coalesce(*LEVELS)
+    hit = F.coalesce(*[f"_{x}" for x in LEVELS])
     out = out.select("output_id", hit.alias("h"))
     state = F.when(F.col("h").isNull(), "unmatched").when(F.col("h.n") > 1, "ambiguous").when(F.col("h.level").isin("path", "checksum"), "linked").otherwise("suggested")
     return out.select("output_id", F.col("h.level").alias("level"), F.coalesce("h.n", F.lit(0)).alias("n_candidates"), F.array_join("h.ids", ",").alias("candidates"), state.alias("state"))
