@@ -95,6 +95,20 @@ def boundaries_time_only(spark, sf):
     return _bounds(spark, sf, ("time_gap",))[1].select("project_id", "left_asset_id", "right_asset_id", F.round("score", 6).alias("score"))
 
 
+@query("boundary_explanations", f"""WITH {_BOUND}, n AS (SELECT bo.project_id, right_asset_id, category, array_to_string(list_filter([CASE WHEN nz IS NOT NULL AND gap > 0 THEN 'time gap' END, CASE WHEN changed > 0 THEN 'camera lens' END, CASE WHEN orientation <> p_orientation THEN 'orientation' END, CASE WHEN fd > 0 THEN 'faces' END, CASE WHEN sd >= 12 THEN 'filename' END], lambda x: x IS NOT NULL), ', ') AS pro,
+    array_to_string(list_filter([CASE WHEN nz IS NOT NULL AND gap < nz THEN 'time gap' END, CASE WHEN comparable > 0 AND changed = 0 THEN 'camera lens' END, CASE WHEN orientation = p_orientation THEN 'orientation' END, CASE WHEN fd = 0 THEN 'faces' END, CASE WHEN shared THEN 'similar sets' END, CASE WHEN sd <= 1 THEN 'filename' END], lambda x: x IS NOT NULL), ', ') AS con
+    FROM bo JOIN sc ON sc.project_id = bo.project_id AND sc.asset_id = bo.right_asset_id) SELECT project_id, right_asset_id, category || ' boundary; for: ' || CASE WHEN pro = '' THEN 'none' ELSE pro END || '; against: ' || CASE WHEN con = '' THEN 'none' ELSE con END AS explanation FROM n""")
+def boundary_explanations(spark, sf):
+    """what speaks for and against each boundary."""
+    from ..operators.checks import explain_boundary
+
+    line, found = _bounds(spark, sf)
+    pairs = T.neighbours(line, "project_id", T.ORDER, ["captured_at_unix_ms", "asset_id", *T.COLUMNS]).where("prev_asset_id is not null")
+    pairs = pairs.join(T.cadence(T.gaps(line)).select("project_id", "normalizer_gap_ms"), "project_id", "left").withColumn("semantic_similarity", F.lit(None).cast("double"))
+    both = pairs.join(found.select("project_id", F.col("right_asset_id").alias("asset_id"), "category"), ["project_id", "asset_id"])
+    return both.select("project_id", F.col("asset_id").alias("right_asset_id"), explain_boundary("category", T.signals()).alias("explanation"))
+
+
 @query("boundaries_semantic")
 def boundaries_semantic(spark, sf):
     """All signals, with the context centroids of the vectors."""

@@ -342,6 +342,34 @@ def json_payload(spark, sf):
     return load(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("total_k"))
 
 
+@query("error_status", "SELECT status, count(*) AS n FROM (SELECT CASE artifact_status WHEN 'unsupported' THEN 'unsupported' WHEN 'corrupt' THEN 'corrupt' WHEN 'failed' THEN 'failed' ELSE 'ready' END AS status FROM media_metadata) GROUP BY status")
+def error_status(spark, sf):
+    """Copies by the status their error leaves."""
+    from ..operators.checks import error_status as status_of
+
+    code = F.when(F.col("artifact_status") == "unsupported", "unsupported_format").when(F.col("artifact_status") == "corrupt", "corrupt_source").when(F.col("artifact_status") == "failed", "io")
+    return load(spark, sf, "media_metadata").select(status_of(code).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("metadata_map", "SELECT DISTINCT metadata_id, coalesce('exif.lens=' || lens_model || ';', '') || coalesce('exif.model=' || camera_model || ';', '') AS entries FROM media_metadata")
+def metadata_map(spark, sf):
+    """Camera and lens as entries of the raw-metadata map, as text in key order."""
+    from ..operators.checks import merged_map
+
+    m = merged_map(F.lit(None).cast("map<string,string>"), "exif", {"model": F.col("camera_model"), "lens": F.col("lens_model")})
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(";"))), "")
+    return load(spark, sf, "media_metadata").select("metadata_id", text.alias("entries")).distinct()
+
+
+@query("tagged_values", "SELECT asset_id, kind, CASE WHEN kind = 'generic' THEN camera_model END AS generic, CASE WHEN kind = 'phrase' THEN lens_model END AS phrase FROM (SELECT asset_id, camera_model, lens_model, CASE WHEN starred THEN 'phrase' ELSE 'generic' END AS kind FROM " + ASSETS + ")")
+def tagged_values(spark, sf):
+    """A tagged value for each asset, taken apart again."""
+    from ..operators.checks import tagged
+
+    t = tagged(F.when(F.col("starred"), "phrase").otherwise("generic"), generic=F.col("camera_model"), phrase=F.col("lens_model"))
+    return assets(spark, sf).select("asset_id", t.alias("t")).select("asset_id", "t.kind", "t.generic", "t.phrase")
+
+
 @query("nfc_stem")
 def nfc_stem(spark, sf):
     """composed, comparable stems of all copies' names."""

@@ -34,3 +34,67 @@ def delivery_report(entries: DataFrame, plan: str, status: str = "status", size:
     """The terminal summary of each plan as JSON: counts and bytes only, no paths or names."""
     s = entries.groupBy(plan).agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(F.col(status) == "verified").alias("n_verified"), F.count_if(F.col(status) == "failed").alias("n_failed"), F.sum(size).alias("total_bytes"))
     return s.select(plan, F.to_json(F.struct("n_entries", "n_verified", "n_failed", "total_bytes")).alias("report"))
+
+
+def copy_verified(entries: DataFrame, root: str) -> DataFrame:
+    """Copy ``source, relative_path`` below ``root`` and verify; one outcome a row.
+
+    Each file goes to a partial of its own, hashed while it is written and again
+    when read back, and takes its final name without replacing anything, so a task
+    that runs twice finds its own work: the same content there is ``verified``, other
+    content a ``conflict``.  ``root`` must be a mounted folder.
+    """
+    import os
+    import uuid
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def one(source: str, rel: str) -> tuple[str, str | None, int]:
+        import hashlib
+
+        def digest(path: str) -> str:
+            h = hashlib.sha256()
+            with open(path, "rb") as f:
+                while block := f.read(1 << 20):
+                    h.update(block)
+            return h.hexdigest()
+
+        parts = (rel or "").replace("\\", "/").split("/")
+        if not rel or rel.startswith("/") or any(p in ("", ".", "..") for p in parts):
+            return "unsafe_path", None, 0
+        final = os.path.join(root, *parts)
+        partial = f"{final}.{uuid.uuid4().hex}.partial"
+        try:
+            before = os.stat(source)
+            os.makedirs(os.path.dirname(final), exist_ok=True)
+            h, n = hashlib.sha256(), 0
+            with open(source, "rb") as a, open(partial, "wb") as b:
+                while block := a.read(1 << 20):
+                    h.update(block)
+                    b.write(block)
+                    n += len(block)
+                b.flush()
+                os.fsync(b.fileno())
+            after = os.stat(source)
+            if (before.st_size, before.st_mtime_ns) != (after.st_size, after.st_mtime_ns):
+                return "source_changed", None, n
+            if digest(partial) != h.hexdigest():
+                return "verification_failed", None, n
+            try:
+                os.link(partial, final)
+            except FileExistsError:
+                return ("verified" if digest(final) == h.hexdigest() else "conflict"), h.hexdigest(), n
+            return "verified", h.hexdigest(), n
+        except OSError as e:
+            return f"failed:{e.strerror}", None, 0
+        finally:
+            if os.path.exists(partial):
+                os.unlink(partial)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(s, r, *one(s, r)) for s, r in zip(pdf["source"], pdf["relative_path"])]
+            yield pd.DataFrame(got, columns=["source", "relative_path", "status", "content_hash", "byte_size"])
+
+    return entries.select("source", "relative_path").mapInPandas(run, "source string, relative_path string, status string, content_hash string, byte_size bigint")
