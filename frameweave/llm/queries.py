@@ -143,3 +143,26 @@ ORACLE = {
     "p4_report": f"""WITH {_COPIES} SELECT c.asset_id, n_copies, n_available, b.file_instance_id, b.verified, b.checked, b.seen_us
         FROM counts c LEFT JOIN best b ON c.asset_id = b.asset_id""",
 }
+
+_D = "::DOUBLE"
+_SUM = lambda e: f"list_sum({e})::DOUBLE"
+_POINTS = r"""
+    f AS (SELECT DISTINCT project_id, asset_id, ('0x' || perceptual_hash)::UBIGINT AS h, color_signature AS c, embedding AS e FROM fingerprint_evidence
+          WHERE asset_id IS NOT NULL AND project_id IS NOT NULL AND regexp_full_match(perceptual_hash, '[0-9a-fA-F]{16}') AND len(color_signature) > 0 AND len(embedding) > 0)"""
+_LINKS = f"""
+    d AS (SELECT x.asset_id AS a, y.asset_id AS b, x.project_id, bit_count(xor(x.h, y.h))::INT AS dist, x.c AS xc, y.c AS yc, x.e AS xe, y.e AS ye FROM f x JOIN f y ON x.project_id = y.project_id AND x.asset_id < y.asset_id WHERE bit_count(xor(x.h, y.h)) <= 10),
+    s AS (SELECT *, CASE WHEN len(xc) = len(yc) THEN 1.0{_D} - {_SUM('list_transform(list_zip(xc, yc), lambda p: abs(p[1]::INT - p[2]::INT))')} / (len(xc) * 255.0{_D}) ELSE 0.0{_D} END AS cs,
+          {_SUM('list_transform(xe, lambda p: p::INT * p::INT)')} AS xx, {_SUM('list_transform(ye, lambda p: p::INT * p::INT)')} AS yy, CASE WHEN len(xe) = len(ye) THEN {_SUM('list_transform(list_zip(xe, ye), lambda p: p[1]::INT * p[2]::INT)')} END AS xy FROM d),
+    l AS (SELECT a, b FROM s WHERE (1.0{_D} - dist / 64.0{_D}) * 0.60{_D} + cs * 0.15{_D} + CASE WHEN xy IS NULL THEN 0.0{_D} WHEN xx > 0 AND yy > 0 THEN (xy / (sqrt(xx) * sqrt(yy)) + 1.0{_D}) / 2.0{_D} ELSE 0.5{_D} END * 0.25{_D} >= 0.86{_D}),
+    u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.other), m AS (SELECT node, min(other) AS label FROM r GROUP BY node)"""
+_VECTORS = f"""
+    raw AS (SELECT 'semantic' AS vk, compatibility_key AS k, asset_id, vector_values{_D}[] AS v, embedded_at AS t FROM semantic_vector WHERE compatibility_key IS NOT NULL UNION ALL SELECT 'fingerprint', 'fingerprint', asset_id, embedding{_D}[], NULL FROM fingerprint_evidence),
+    ok AS (SELECT * FROM raw WHERE asset_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    dim AS (SELECT vk, k, CASE WHEN vk = 'fingerprint' THEN 64 ELSE max_by(d, (n, -d)) END AS d FROM (SELECT vk, k, len(v) AS d, count(*) AS n FROM ok GROUP BY ALL) GROUP BY vk, k),
+    one AS (SELECT vk, k, asset_id, v FROM (SELECT ok.*, row_number() OVER (PARTITION BY vk, k, asset_id ORDER BY t DESC NULLS LAST, v DESC) AS n FROM ok JOIN dim USING (vk, k) WHERE len(v) = dim.d) WHERE n = 1),
+    sim AS (SELECT x.vk, x.asset_id AS a, y.asset_id AS b, row_number() OVER (PARTITION BY x.vk, x.k, x.asset_id ORDER BY round(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) DESC, y.asset_id) AS place
+            FROM one x JOIN one y ON x.vk = y.vk AND x.k = y.k AND x.asset_id <> y.asset_id)"""
+ORACLE |= {
+    "p5_found": f"WITH RECURSIVE {_POINTS}, {_LINKS} SELECT label AS asset_a, node AS asset_b FROM m WHERE node <> label",
+    "p6_found": f"WITH {_VECTORS} SELECT DISTINCT vk AS vector_kind, least(a, b) AS asset_a, greatest(a, b) AS asset_b FROM sim WHERE place <= 5",
+}
