@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import running_sum, sliced
 from .prefs import CLASSES, of_label
 
 
@@ -73,8 +73,11 @@ def candidate_recall(exact: DataFrame, candidates: DataFrame, query: str = "quer
 def latency(rows: DataFrame, group: str, ms: str) -> DataFrame:
     """Total, upper median, the value at floor((n-1)*95/100) and the largest, per group.
 
-    Ranks come from a window per group; use it on measurement tables.
+    Ranks come from running counts of the distinct values, so a large group is no single task.
     """
-    w = W.partitionBy(group)
-    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy(ms)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    return ranked.groupBy(group).agg(F.sum(ms).alias("total"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col(ms))).alias("median"), F.max(F.when(F.col("_i") == F.floor((F.col("_n") - 1) * 95 / 100), F.col(ms))).alias("p95"), F.max(ms).alias("largest"))
+    counted = rows.where(F.col(ms).isNotNull()).groupBy(group, ms).agg(F.count(F.lit(1)).alias("_k"))
+    upto = running_sum(sliced(counted, group, [ms]), group, [ms], F.col("_k"), "_upto")
+    whole = counted.groupBy(group).agg(F.sum("_k").alias("_n"), F.sum(F.col(ms) * F.col("_k")).alias("total"), F.max(ms).alias("largest"))
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col(ms)))
+    ranks = upto.join(whole.select(group, "_n"), group).groupBy(group).agg(at(F.floor(F.col("_n") / 2)).alias("median"), at(F.floor((F.col("_n") - 1) * 95 / 100)).alias("p95"))
+    return whole.join(ranks, group).select(group, "total", "median", "p95", "largest")

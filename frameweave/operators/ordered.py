@@ -27,13 +27,13 @@ def with_halo(chunked: DataFrame, group: str, order: list[str], k: int = 1) -> D
     """Each (group, chunk) with ``k`` rows of the group's chunk before and after it (``halo`` true)."""
     parts = chunked.select(group, "chunk").distinct()
     w = W.partitionBy(group).orderBy("chunk")  # one row a chunk
-    near = parts.select(F.col(group).alias("_g"), F.col("chunk").alias("_c"), F.lag("chunk").over(w).alias("_before"), F.lead("chunk").over(w).alias("_after"))
+    near = parts.select(F.col(group).alias("__fw_g"), F.col("chunk").alias("__fw_c"), F.lag("chunk").over(w).alias("__fw_before"), F.lead("chunk").over(w).alias("__fw_after"))
     inside = W.partitionBy(group, "chunk")
-    marked = chunked.withColumn("_first", F.row_number().over(inside.orderBy(*order))).withColumn("_last", F.row_number().over(inside.orderBy(*[F.desc(o) for o in order])))
-    own = marked.drop("_first", "_last").withColumn("halo", F.lit(False))
-    edge = marked.where((F.col("_first") <= k) | (F.col("_last") <= k)).join(near, F.col(group).eqNullSafe(F.col("_g")) & (F.col("chunk") == F.col("_c")))
-    to = F.explode(F.array_compact(F.array(F.when(F.col("_first") <= k, F.col("_before")), F.when(F.col("_last") <= k, F.col("_after"))))).alias("_to")
-    halo = edge.select(*chunked.columns, to).drop("chunk").withColumnRenamed("_to", "chunk").withColumn("halo", F.lit(True))
+    marked = chunked.withColumn("__fw_first", F.row_number().over(inside.orderBy(*order))).withColumn("__fw_last", F.row_number().over(inside.orderBy(*[F.desc(o) for o in order])))
+    own = marked.drop("__fw_first", "__fw_last").withColumn("halo", F.lit(False))
+    edge = marked.where((F.col("__fw_first") <= k) | (F.col("__fw_last") <= k)).join(near, F.col(group).eqNullSafe(F.col("__fw_g")) & (F.col("chunk") == F.col("__fw_c")))
+    to = F.explode(F.array_compact(F.array(F.when(F.col("__fw_first") <= k, F.col("__fw_before")), F.when(F.col("__fw_last") <= k, F.col("__fw_after"))))).alias("__fw_to")
+    halo = edge.select(*chunked.columns, to).drop("chunk").withColumnRenamed("__fw_to", "chunk").withColumn("halo", F.lit(True))
     return own.unionByName(halo)
 
 
@@ -48,9 +48,9 @@ def neighbours(chunked: DataFrame, group: str, order: list[str], columns: list[s
 
 def running_sum(chunked: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Every row with the sum of ``value`` from the start of its group up to and including it."""
-    valued = chunked.withColumn("_v", value)
-    sums = valued.groupBy(group, "chunk").agg(F.sum("_v").alias("_s"))
-    before = sums.select(F.col(group).alias("_g"), F.col("chunk").alias("_c"), F.coalesce(F.sum("_s").over(W.partitionBy(group).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    local = F.sum("_v").over(W.partitionBy(group, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    out = valued.withColumn("_local", local).join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("chunk") == F.col("_c")))
-    return out.withColumn(name, F.col("_local") + F.col("_before")).drop("_v", "_local", "_before", "_g", "_c")
+    valued = chunked.withColumn("__fw_v", value)
+    sums = valued.groupBy(group, "chunk").agg(F.sum("__fw_v").alias("__fw_s"))
+    before = sums.select(F.col(group).alias("__fw_g"), F.col("chunk").alias("__fw_c"), F.coalesce(F.sum("__fw_s").over(W.partitionBy(group).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__fw_before"))
+    local = F.sum("__fw_v").over(W.partitionBy(group, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = valued.withColumn("__fw_local", local).join(before, F.col(group).eqNullSafe(F.col("__fw_g")) & (F.col("chunk") == F.col("__fw_c")))
+    return out.withColumn(name, F.col("__fw_local") + F.col("__fw_before")).drop("__fw_v", "__fw_local", "__fw_before", "__fw_g", "__fw_c")

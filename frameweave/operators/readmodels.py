@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import running_sum, sliced
+
 # Page sizes (default, least, most) of the views.
 PAGES = {"browser": (120, 1, 250), "culling": (60, 1, 120), "similar": (60, 1, 120), "timeline": (60, 1, 120), "group": (24, 1, 120), "history": (8, 1, 50)}
 
@@ -165,13 +167,19 @@ def one_active(rows: DataFrame, by: str, active: Column) -> DataFrame:
 
 def resequence(rows: DataFrame, group: str, active: str, order: str, key: str) -> DataFrame:
     """Active rows contiguous in display order, stale ones after them by old place and key."""
-    return rows.withColumn("new_ordinal", F.row_number().over(W.partitionBy(group).orderBy(F.desc(active), order, key)) - 1)
+    chunks = sliced(rows.withColumn("_stale", ~F.col(active)), group, ["_stale", order, key])
+    out = running_sum(chunks, group, ["_stale", order, key], F.lit(1).cast("bigint"), "new_ordinal")
+    return out.withColumn("new_ordinal", F.col("new_ordinal") - 1).drop("_stale", "chunk")
 
 
 def relative_rank(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Percent rank within the group (0 when alone) and the group's size; for groups of bounded size."""
-    w = W.partitionBy(group)
-    return rows.withColumns({"relative_rank": F.percent_rank().over(w.orderBy(value)), "group_size": F.count(F.lit(1)).over(w)})
+    """Share of the other members below a value (0 when alone) and the group's size."""
+    counted = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("_k"))
+    upto = running_sum(sliced(counted, group, [value]), group, [value], F.col("_k"), "_upto")
+    size = counted.groupBy(group).agg(F.sum("_k").alias("group_size"))
+    rank = F.when(F.col("group_size") > 1, (F.col("_upto") - F.col("_k")) / (F.col("group_size") - 1)).otherwise(0.0)
+    places = upto.join(size, group).select(F.col(group).alias("_g"), F.col(value).alias("_v"), rank.alias("relative_rank"), "group_size")
+    return rows.join(places, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
 
 
 def stale_evidence(current: DataFrame, evidence: DataFrame, key: list[str]) -> DataFrame:

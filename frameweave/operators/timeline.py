@@ -217,8 +217,8 @@ def clock_offsets(assets: DataFrame, least_sets: int = 3, least_ms: int = 60_000
         "project_id", F.trim("camera_model").alias("cam"), F.col("captured_at_unix_ms").alias("t"), F.explode(F.array_distinct(F.transform("similar_set_ids", lambda s: F.trim(s)))).alias("set_id")
     )
     members = rows.where("set_id != ''").distinct()
-    w = W.partitionBy("project_id", "set_id").orderBy("t", "cam")  # a similar set is small
-    pairs = members.withColumns({"p_cam": F.lag("cam").over(w), "p_t": F.lag("t").over(w)}).where("p_cam != cam")
+    chunks = sliced(members.withColumn("set_key", F.concat_ws("\x00", "project_id", "set_id")), "set_key", ["t", "cam"])
+    pairs = neighbours(chunks, "set_key", ["t", "cam"], ["cam", "t"], "p_").where("p_cam != cam")
     swap = F.col("p_cam") < F.col("cam")
     a, b = F.struct(F.col("p_cam").alias("c"), F.col("p_t").alias("t")), F.struct(F.col("cam").alias("c"), F.col("t").alias("t"))
     sided = pairs.withColumns({"a": F.when(swap, a).otherwise(b), "b": F.when(swap, b).otherwise(a)})
