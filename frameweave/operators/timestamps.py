@@ -12,7 +12,7 @@ to each of its last interpretations, these small matrices are combined per sourc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -134,23 +134,23 @@ def _fix_ends(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": pdf["source"], "chunk": pdf["chunk"], "first_at": path[0::2], "last_at": path[1::2]})
 
 
-def choose_by_order(records: DataFrame, *, chunks: int | None = None) -> DataFrame:
+def choose_by_order(records: DataFrame, *, read: Callable[[DataFrame], DataFrame] | None = None, chunks: int | None = None) -> DataFrame:
     """One instant for each record with interpretations.
 
-    ``records``: ``kind, record_id, source, seq, interpretations`` (one row per
-    ``kind, record_id``).  Result: ``kind, record_id, utc_us, format, n_valid``;
+    ``records``: ``kind, record_id, source, seq`` (one row per ``kind,
+    record_id``) and ``interpretations``, or what ``read`` makes them from; it
+    then runs once, behind the range partitioning, whose sampling would otherwise
+    repeat it.  Result: ``kind, record_id, utc_us, format, n_valid``;
     ``n_valid`` 1 means the value itself determines the instant, more that the
     order of its source chose.  Records without a valid interpretation get none.
     Null sources are one source; null sequence values come first.
     """
     spark = records.sparkSession
     n = chunks or partitions(spark)
-    usable = records.where(F.size("interpretations") > 0)
-    slim = usable.select(
-        "kind", "record_id", F.coalesce("source", F.lit("")).alias("source"), "seq",
-        F.col("interpretations.utc_us").alias("us"), F.col("interpretations.format").alias("formats"),
-    )
-    placed = cut(slim.repartitionByRange(n, "source", "seq", "kind", "record_id").sortWithinPartitions("source", "seq", "kind", "record_id").withColumn("chunk", F.spark_partition_id()))
+    by = ["source", "seq", "kind", "record_id"]
+    ordered = records.withColumn("source", F.coalesce("source", F.lit(""))).repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("chunk", F.spark_partition_id())
+    usable = (read(ordered) if read else ordered).where(F.size("interpretations") > 0)
+    placed = cut(usable.select("kind", "record_id", "source", "chunk", F.col("interpretations.utc_us").alias("us"), F.col("interpretations.format").alias("formats")))
     ends = placed.select("source", "kind", "record_id", "us", "formats", "chunk").mapInPandas(_summaries, _ENDS)
     fixed = ends.groupBy("source").applyInPandas(_fix_ends, "source string, chunk int, first_at int, last_at int")
     # At most two rows a chunk, whatever the data: they go to every task.

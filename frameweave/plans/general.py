@@ -39,7 +39,7 @@ def p2_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _capture_times(spark: SparkSession, sf: str) -> DataFrame:
-    """Both tables as records with interpretations; rows repeated whole count once."""
+    """Both tables as records of written times; rows repeated whole count once."""
     meta = load(spark, sf, "media_metadata").select(
         F.lit("metadata").alias("kind"), F.col("metadata_id").alias("record_id"), F.col("captured_at_raw").alias("value"),
         F.col("capture_timezone").alias("zone"), F.col("capture_time_source").alias("tag"), F.unix_micros("observed_at").alias("seq"),
@@ -51,18 +51,22 @@ def _capture_times(spark: SparkSession, sf: str) -> DataFrame:
     rows = meta.unionByName(cand).where("record_id is not null and value is not null")
     first = F.min(F.struct("value", "zone", "tag", "seq")).alias("r")
     once = rows.groupBy("kind", "record_id").agg(first).select("kind", "record_id", "r.*")
-    return with_interpretations(once, "value", "zone").select("kind", "record_id", F.concat_ws("/", "kind", "tag").alias("source"), "seq", "interpretations")
+    return once.select("kind", "record_id", F.concat_ws("/", "kind", "tag").alias("source"), "seq", "value", "zone")
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    return with_interpretations(rows, "value", "zone")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """The instants that value and zone determine: one valid interpretation, kept by the path search."""
-    chosen = choose_by_order(_capture_times(spark, sf))
+    chosen = choose_by_order(_capture_times(spark, sf), read=_read)
     return chosen.where("n_valid = 1").select(F.col("kind").alias("record_kind"), "record_id", "utc_us")
 
 
 def p3_resolved(spark: SparkSession, sf: str) -> DataFrame:
     """Every record with a valid interpretation; where several are, the order of its source chose."""
-    return choose_by_order(_capture_times(spark, sf)).select(F.col("kind").alias("record_kind"), "record_id", "utc_us", "format", "n_valid")
+    return choose_by_order(_capture_times(spark, sf), read=_read).select(F.col("kind").alias("record_kind"), "record_id", "utc_us", "format", "n_valid")
 
 
 QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_resolved": p3_resolved}
