@@ -1,10 +1,12 @@
 """Connected components by hooking to the smallest neighbour and contracting.
 
-Each round every vertex hooks to its smallest neighbour, the chains are jumped to
-their roots, and the edges are contracted to edges between roots.  Each round at
-least halves the vertices that still have edges, so there are at most log2(n)
-rounds; the edges shrink with them.  Only minima are aggregated (combined before
-the shuffle), no neighbour list is ever built, and each round is checkpointed.
+Each round every vertex hooks to its smallest neighbour, the chains are jumped
+four links far, and the edges are contracted to edges between the vertices
+reached.  A vertex reached may itself have moved on; the contracted image of its
+own hooking edge keeps the two connected.  The smallest vertex of a component
+never moves, so it is the label that is left.  Only minima are aggregated
+(combined before the shuffle), no neighbour list is ever built, and each round is
+checkpointed.
 """
 
 from __future__ import annotations
@@ -15,14 +17,10 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def _jump(parents: DataFrame) -> DataFrame:
-    """Follow ``node -> parent`` to the roots, doubling the reach with every join."""
-    while True:
-        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        parents = cut(parents.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
-        if parents.where("moved").isEmpty():
-            return parents.select("node", "parent")
-        parents = parents.select("node", "parent")
+def _twice(parents: DataFrame) -> DataFrame:
+    """``node, parent`` with every vertex moved on to its parent's parent."""
+    up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+    return parents.join(up, "parent").select("node", F.col("grand").alias("parent"))
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -36,7 +34,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     maps: list[DataFrame] = []
     while True:
         low = links.groupBy("u").agg(F.min("v").alias("v"))
-        roots = _jump(low.select(F.col("u").alias("node"), F.least("u", "v").alias("parent")))
+        roots = cut(_twice(_twice(low.select(F.col("u").alias("node"), F.least("u", "v").alias("parent")))))
         maps.append(roots)
         at_u = roots.select(F.col("node").alias("u"), F.col("parent").alias("ru"))
         at_v = roots.select(F.col("node").alias("v"), F.col("parent").alias("rv"))
