@@ -32,7 +32,8 @@ def with_interpretations(df: DataFrame, value: str, zone: str, slash_orders: tup
     def read(v: pd.Series, z: pd.Series) -> pd.Series:
         return pd.Series([[{"utc_us": u, "format": f} for u, f in interpretations(a, b, slash_orders)] for a, b in zip(v.tolist(), z.tolist())], dtype=object)
 
-    return df.withColumn("interpretations", read(F.col(value), F.col(zone)))
+    # Else a filter on the result would be pushed below and read every value twice.
+    return df.withColumn("interpretations", read.asNondeterministic()(F.col(value), F.col(zone)))
 
 
 def _step(a: tuple[int, str], b: tuple[int, str]) -> float:
