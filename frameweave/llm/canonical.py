@@ -258,9 +258,10 @@ def match_values(values: DataFrame, refs: DataFrame, threshold: float = THRESHOL
     keyed = cut(values.select("kind", "value", "row_maker").distinct().withColumn("l", F.sha2(F.concat_ws("|", "kind", F.coalesce("row_maker", F.lit("?")), "value"), 256)))
     entries = cut(_entries(refs).withColumn("form", F.explode(F.array(F.lit(True), F.lit(False)))).where("form or kind != 'make'"))
     named = entries.withColumn("r", F.concat_ws("|", F.col("ref_id").cast("string"), "own", F.col("form").cast("string")))
-    left = keyed.withColumn("tokens", _tokens("kind", "value")).where(F.size("tokens") > 0)
-    right = named.withColumn("tokens", _tokens_of_entry("kind", "maker", "own", "form")).where(F.size("tokens") > 0)
-    pairs = similar_pairs(left.select("kind", "l", "tokens"), right.select("kind", "r", "tokens"), threshold)
+    # Not deterministic: else filters on the results would be pushed below and run the functions again.
+    left = cut(keyed.withColumn("tokens", _tokens.asNondeterministic()("kind", "value")).where(F.size("tokens") > 0).select("kind", "l", "tokens"))
+    right = cut(named.withColumn("tokens", _tokens_of_entry.asNondeterministic()("kind", "maker", "own", "form")).where(F.size("tokens") > 0).select("kind", "r", "tokens"))
+    pairs = similar_pairs(left, right, threshold)
 
     @F.pandas_udf("struct<tier: int, edits: int>")
     def verify(kind: pd.Series, value: pd.Series, maker: pd.Series, own: pd.Series, row_maker: pd.Series) -> pd.DataFrame:
@@ -276,8 +277,8 @@ def match_values(values: DataFrame, refs: DataFrame, threshold: float = THRESHOL
         return pd.DataFrame(got, columns=["tier", "edits"]).astype("Int32")
 
     rows = pairs.join(keyed.select("l", "value", "row_maker"), "l").join(named.select("r", "ref_id", "maker", "own"), "r")
-    passed = rows.withColumn("v", verify("kind", "value", "maker", "own", "row_maker")).where("v.tier is not null")
-    one = passed.groupBy("l", "ref_id").agg(F.min(F.struct("v.tier", "v.edits", (-F.round("jaccard", 9)).alias("far"))).alias("how"))
+    passed = rows.withColumn("v", verify.asNondeterministic()("kind", "value", "maker", "own", "row_maker")).where("v.tier is not null")
+    one = cut(passed.groupBy("l", "ref_id").agg(F.min(F.struct("v.tier", "v.edits", (-F.round("jaccard", 9)).alias("far"))).alias("how")))
     best = one.groupBy("l").agg(F.min("how").alias("how"))
     kept = one.join(best.withColumnRenamed("how", "top"), "l").where("how.tier = top.tier and how.edits = top.edits").groupBy("l").agg(F.min("ref_id").alias("ref_id"), F.count(F.lit(1)).alias("n"))
     found = F.when(F.col("n") == 1, F.col("ref_id")).otherwise(F.lit(-1))
