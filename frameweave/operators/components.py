@@ -1,12 +1,11 @@
 """Connected components by hooking to the smallest neighbour and contracting.
 
-Each round every vertex hooks to its smallest neighbour, the chains are jumped
-four links far, and the edges are contracted to edges between the vertices
-reached.  A vertex reached may itself have moved on; the contracted image of its
-own hooking edge keeps the two connected.  The smallest vertex of a component
-never moves, so it is the label that is left.  Only minima are aggregated
-(combined before the shuffle), no neighbour list is ever built, and each round is
-checkpointed.
+Each round every vertex hooks to its smallest neighbour, the chains are jumped to
+their roots (four links a pass, doubling), and the edges are contracted to edges
+between roots.  Each round at least halves the vertices that still have edges, so
+there are at most log2(n) rounds; the edges shrink with them.  Only minima are
+aggregated (combined before the shuffle), no neighbour list is ever built, and
+each round is checkpointed.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut_step
 
 
 def _twice(parents: DataFrame) -> DataFrame:
@@ -23,6 +22,17 @@ def _twice(parents: DataFrame) -> DataFrame:
     return parents.join(up, "parent").select("node", F.col("grand").alias("parent"))
 
 
+def _jump(parents: DataFrame) -> DataFrame:
+    """Every vertex with its root; two doublings a pass, until a pass moves nothing."""
+    while True:
+        twice = _twice(parents)
+        up = twice.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+        parents = cut_step(twice.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
+        if parents.where("moved").isEmpty():
+            return parents.select("node", "parent")
+        parents = parents.select("node", "parent")
+
+
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``node, label`` of every vertex in an edge; the label is the component's smallest vertex.
 
@@ -30,15 +40,15 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     component of its own; repeated edges and either direction are the same edge.
     """
     pairs = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
-    links = cut(pairs.union(pairs.select("v", "u")).distinct())
+    links = cut_step(pairs.union(pairs.select("v", "u")).distinct())
     maps: list[DataFrame] = []
     while True:
         low = links.groupBy("u").agg(F.min("v").alias("v"))
-        roots = cut(_twice(_twice(low.select(F.col("u").alias("node"), F.least("u", "v").alias("parent")))))
+        roots = _jump(low.select(F.col("u").alias("node"), F.least("u", "v").alias("parent")))
         maps.append(roots)
         at_u = roots.select(F.col("node").alias("u"), F.col("parent").alias("ru"))
         at_v = roots.select(F.col("node").alias("v"), F.col("parent").alias("rv"))
-        links = cut(links.join(at_u, "u").join(at_v, "v").where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+        links = cut_step(links.join(at_u, "u").join(at_v, "v").where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
         if links.isEmpty():
             break
     label = maps[-1]

@@ -69,6 +69,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_step(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, for what a loop joins with itself again.
+
+    A checkpoint keeps the size estimated for its plan; joined with the next one
+    the estimates multiply, and after a few dozen steps they are numbers of
+    millions of digits that the planner works on for minutes.  The rows are put
+    behind a plan without an estimate instead; adaptive execution goes by the
+    sizes it measures.
+    """
+    spark, done = df.sparkSession, cut(df)
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of partitions for explicit range partitioning."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
