@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import cosine, dot, flip_one_bit, normalize, valid_vector
 
-TABLES, BITS, EXACT_MOST, CANDIDATES_MOST = 4, 16, 4096, 8192
+TABLES, BITS, EXACT_MOST = 4, 16, 4096
+_BLOCK_ROWS, _BLOCK_QUERIES = 4096, 512
 TOP_LEAST, MARGIN_LEAST = 0.32, 0.06
 
 
@@ -28,6 +29,43 @@ def knn_exact(vectors: DataFrame, query: list[float], k: int = 10, where: Column
     return scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
+def knn_many(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """J7 for a table of queries: ``query_id``, the id and the score of the k vectors nearest to each; ties (12 decimals) to the smaller id.
+
+    ``queries`` has ``query_id`` and the vector.  Queries and rows are put into
+    blocks by the hash of their ids and every pair of blocks is one product of two
+    bounded matrices, so both sides may grow.
+    """
+    rows = vectors if where is None else vectors.where(where)
+    kind = vectors.schema[id_column].dataType.simpleString()
+    asks = queries.schema["query_id"].dataType.simpleString()
+    v, d = normalize(vector).alias("v"), F.size(vector).alias("d")
+    left = rows.where(valid_vector(vector)).select(F.col(id_column).alias("id"), d, v)
+    right = queries.where(valid_vector(vector)).select("query_id", d, v)
+    n_left, n_right = left.count() // _BLOCK_ROWS + 1, right.count() // _BLOCK_QUERIES + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = left.withColumn("rb", block("id", n_left)).withColumn("qb", every(n_right))
+    right = right.withColumn("qb", block("query_id", n_right)).withColumn("rb", every(n_left))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        a = a.sort_values("id", ignore_index=True)
+        scores = np.stack(b["v"].to_numpy()) @ np.stack(a["v"].to_numpy()).T
+        top = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), top.shape[1]), "id": a["id"].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
+
+    by = ["d", "rb", "qb"]
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(nearest, f"query_id {asks}, id {kind}, score double")
+    return _best(met, k).withColumnRenamed("id", id_column)
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
+    return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
 def planes(dimension: int, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
     """H6: ±1 planes (tables * bits, dimension) from one digest bit each, the same on every machine."""
     out = np.empty((tables * bits, dimension), dtype=np.float64)
@@ -54,24 +92,28 @@ def with_signatures(vectors: DataFrame, dimension: int, id_column: str = "vec_id
     return ok.select(id_column, F.posexplode(sign(vector)).alias("table", "signature"))
 
 
-def lsh_candidates(index: DataFrame, query_signatures: DataFrame, most: int = CANDIDATES_MOST, id_column: str = "vec_id") -> DataFrame:
-    """Ids in the query's buckets or one bit beside them, distinct, the first ``most`` by id.
+def lsh_candidates(index: DataFrame, query_signatures: DataFrame, id_column: str = "vec_id") -> DataFrame:
+    """``query_id`` and id, distinct, of all vectors in each query's buckets or one bit beside them."""
+    probes = query_signatures.select("query_id", "table", F.explode(flip_one_bit("signature")).alias("signature"))
+    return index.join(probes, ["table", "signature"]).select("query_id", id_column).distinct()
 
-    The 68 probed buckets are a few rows (their number is fixed), so they go to every task.
-    """
-    probes = query_signatures.select("table", F.explode(flip_one_bit("signature")).alias("signature")).distinct()
-    hit = index.join(F.broadcast(probes), ["table", "signature"], "left_semi").select(id_column).distinct()
-    return hit.orderBy(id_column).limit(most)
+
+def knn_lsh_many(vectors: DataFrame, index: DataFrame, queries: DataFrame, dimension: int, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", exact_most: int = EXACT_MOST) -> DataFrame:
+    """J8 for a table of queries (``query_id`` and the vector): exact search up to ``exact_most`` vectors, else exact ranking of all LSH candidates."""
+    queries = queries.where(F.size(vector) == dimension)
+    if vectors.limit(exact_most + 1).count() <= exact_most:
+        return knn_many(vectors, queries, k, None, id_column, vector)
+    found = lsh_candidates(index, with_signatures(queries, dimension, "query_id", vector), id_column)
+    left = vectors.where(valid_vector(vector) & (F.size(vector) == dimension)).select(id_column, normalize(vector).alias("_v"))
+    right = queries.where(valid_vector(vector)).select("query_id", normalize(vector).alias("_w"))
+    scored = found.join(left, id_column).join(right, "query_id").select("query_id", F.col(id_column).alias("id"), dot("_v", "_w").alias("score"))
+    return _best(scored, k).withColumnRenamed("id", id_column)
 
 
 def knn_lsh(vectors: DataFrame, index: DataFrame, query: list[float], k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Exact search up to ``EXACT_MOST`` vectors, else exact ranking of the LSH candidates."""
-    if vectors.limit(EXACT_MOST + 1).count() <= EXACT_MOST:
-        return knn_exact(vectors, query, k, None, id_column, vector)
-    spark = vectors.sparkSession
-    q = spark.createDataFrame([(0, [float(x) for x in query])], f"{id_column} bigint, {vector} array<double>")
-    found = lsh_candidates(index, with_signatures(q, len(query), id_column, vector), CANDIDATES_MOST, id_column)
-    return knn_exact(vectors.join(found, id_column, "left_semi"), query, k, None, id_column, vector)
+    """J8 for one query, best first."""
+    q = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], f"query_id bigint, {vector} array<double>")
+    return knn_lsh_many(vectors, index, q, len(query), k, id_column, vector).drop("query_id").orderBy(F.desc(F.round("score", 12)), id_column)
 
 
 def centroids(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
