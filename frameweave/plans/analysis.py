@@ -196,6 +196,25 @@ def knn_hybrid(spark, sf):
     return V.knn_exact(load(spark, sf, "embeddings"), _first(spark, sf), where=F.col("label") == 3).withColumn("score", F.round("score", 6))
 
 
+def _nearest_sql(where: str) -> str:
+    return f"""SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS r
+    FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE {where})) WHERE r <= 10"""
+
+
+@query("knn_exact_many", _nearest_sql("true"))
+def knn_exact_many(spark, sf):
+    """The ten nearest of every 50th vector, queries in blocks against all rows."""
+    e = load(spark, sf, "embeddings")
+    return V.knn_many(e, _asked(e)).withColumn("score", F.round("score", 6))
+
+
+@query("knn_hybrid_many", _nearest_sql("e.label = 3"))
+def knn_hybrid_many(spark, sf):
+    """Of every 50th vector the ten nearest with one label."""
+    e = load(spark, sf, "embeddings")
+    return V.knn_many(e, _asked(e), where=F.col("label") == 3).withColumn("score", F.round("score", 6))
+
+
 @query("lsh_signatures")
 def lsh_signatures(spark, sf):
     """The bucket table of all vectors."""
