@@ -127,7 +127,7 @@ COLUMNS = ["camera_model", "lens_model", "orientation", "anonymous_face_count",
 
 
 def context_similarity(chunked: DataFrame, config: TimelineConfig = TimelineConfig()) -> DataFrame:
-    """``project_id, asset_id, semantic_similarity`` of the vectors before and from each asset.
+    """``project_id, asset_id, semantic_similarity`` of the vectors before and from each asset, and how many took part (``n_context``).
 
     ``chunked`` has ``key`` and ``vector``.  Up to ``context`` vectors on either
     side; each side stops at the first invalid vector or one of another key or
@@ -152,7 +152,20 @@ def context_similarity(chunked: DataFrame, config: TimelineConfig = TimelineConf
         return F.when(n > 0, normalize(total))
 
     out = framed.where(~F.col("halo")).withColumns({"_l": centre("before"), "_r": centre("after")})
-    return out.select("project_id", "asset_id", cosine("_l", "_r").alias("semantic_similarity"))
+    return out.select("project_id", "asset_id", cosine("_l", "_r").alias("semantic_similarity"), (F.size(prefix("before")) + F.size(prefix("after"))).alias("n_context"))
+
+
+def context_similarity_by_key(chunked: DataFrame, vectors: DataFrame, config: TimelineConfig = TimelineConfig()) -> DataFrame:
+    """W3 where an asset may have a vector under each of several keys (``asset_id, key, vector``, one row each).
+
+    The context is formed for each key that a project has; of those whose two
+    sides meet, the one with the most vectors counts, ties to the smallest key.
+    """
+    keys = chunked.select("project_id", "asset_id").join(vectors.select("asset_id", "key"), "asset_id").select("project_id", "key").distinct()
+    line = chunked.select("project_id", *ORDER, "chunk").join(keys, "project_id").join(vectors, ["asset_id", "key"], "left")
+    got = context_similarity(line.withColumn("project_id", F.struct("project_id", "key")), config).where("semantic_similarity is not null")
+    best = F.min(F.struct((-F.col("n_context")).alias("n"), F.col("project_id.key").alias("key"), "semantic_similarity")).alias("b")
+    return got.groupBy(F.col("project_id.project_id").alias("project_id"), "asset_id").agg(best).select("project_id", "asset_id", "b.semantic_similarity")
 
 
 def boundaries(chunked: DataFrame, cad: DataFrame, semantic: DataFrame | None = None, config: TimelineConfig = TimelineConfig(), only: tuple[str, ...] | None = None) -> DataFrame:

@@ -78,8 +78,9 @@ def _bounds(spark: SparkSession, sf: str, only: tuple[str, ...] | None = None, s
     line = _line(spark, sf)
     sem = None
     if semantic:
-        vec = load(spark, sf, "semantic_vector").where("compatibility_key = 'lumen-2.1'").groupBy("asset_id").agg(F.max(F.struct("embedded_at", "vector_values")).alias("v")).select("asset_id", F.lit("lumen-2.1").alias("key"), F.col("v.vector_values").alias("vector"))
-        sem = T.context_similarity(line.select("project_id", *T.ORDER, "chunk").join(vec, "asset_id", "left"))
+        named = load(spark, sf, "semantic_vector").where("asset_id is not null and compatibility_key is not null")
+        vec = named.groupBy("asset_id", F.col("compatibility_key").alias("key")).agg(F.max(F.struct("embedded_at", "vector_values")).alias("v")).select("asset_id", "key", F.col("v.vector_values").alias("vector"))
+        sem = T.context_similarity_by_key(line, cut(vec))
     return line, cut(T.boundaries(line, T.cadence(T.gaps(line)), sem, only=only))
 
 
@@ -111,7 +112,7 @@ def boundary_explanations(spark, sf):
 
 @query("boundaries_semantic")
 def boundaries_semantic(spark, sf):
-    """All signals, with the context centroids of the vectors."""
+    """All signals, with the context centroids of the vectors of every key."""
     return _bounds(spark, sf, None, True)[1].withColumn("score", F.round("score", 6))
 
 
