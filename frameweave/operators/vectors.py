@@ -145,6 +145,18 @@ def label_candidates(targets: DataFrame, candidates: DataFrame, id_column: str,
     return best.withColumn("accepted", enough)
 
 
+def label_state(targets: DataFrame, candidates: DataFrame, id_column: str, least: int = 1, time_only: bool = False) -> DataFrame:
+    """P20: ``state`` of each target: suggested, abstained or semantic_evidence_unavailable.
+
+    ``targets`` has the id and ``n_vectors`` behind its centroid (null or 0 for
+    none), ``candidates`` is the result of :func:`label_candidates`.
+    """
+    n = F.col("n_vectors")
+    none = F.lit(time_only) | n.isNull() | (n == 0)
+    state = F.when(none, "semantic_evidence_unavailable").when((n < least) | ~F.coalesce("accepted", F.lit(False)), "abstained").otherwise("suggested")
+    return targets.select(id_column, "n_vectors").join(candidates.select(id_column, "accepted"), id_column, "left").select(id_column, state.alias("state"))
+
+
 # Concepts of which a label may hold one only.
 CONFLICTS = {"indoor": "place", "outdoor": "place", "close-up": "framing", "wide": "framing", "one person": "people", "multiple people": "people", "group": "people"}
 

@@ -13,19 +13,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def classify_append(existing: DataFrame, batch: DataFrame, project: str = "project_id", ts: str = "captured_at_unix_ms", key: str = "asset_id") -> DataFrame:
+def classify_append(existing: DataFrame, batch: DataFrame, project: str = "project_id", ts: str = "captured_at_unix_ms", key: str = "asset_id", ignore: tuple[str, ...] = ("ingested_at",)) -> DataFrame:
     """What each project's new rows ask for: ``no_change``, ``undated_only``, ``tail`` or ``rebuild``.
 
-    Rows already present don't count as new; a new time at or before the
-    project's last one needs a rebuild.
+    Rows sent again unchanged (but for ``ignore``) don't count; a known key with
+    other values counts by its new and its old time, the old one in its old
+    project.  A time at or before the project's last one needs a rebuild.
     """
     tails = existing.groupBy(project).agg(F.max(ts).alias("tail"))
-    fresh = batch.join(existing.select(key), key, "left_anti")
-    news = batch.select(project).distinct().join(fresh.groupBy(project).agg(F.count(F.lit(1)).alias("n_new"), F.min(ts).alias("first_new"), F.count(ts).alias("n_dated")), project, "left").join(tails, project, "left")
-    kind = F.when(F.coalesce("n_new", F.lit(0)) == 0, "no_change").when(F.col("n_dated") == 0, "undated_only").when(F.col("tail").isNull() | (F.col("first_new") > F.col("tail")), "tail").otherwise("rebuild")
+    same = F.lit(True)
+    for c in existing.columns:
+        if c in batch.columns and c not in (key, *ignore):
+            same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"b.{c}"))
+    sent = batch.alias("b").join(existing.alias("e"), F.col(f"b.{key}") == F.col(f"e.{key}"), "left").where(F.col(f"e.{key}").isNull() | ~same)
+    now = sent.select(F.col(f"b.{project}").alias(project), F.col(f"b.{ts}").alias("t"), F.lit(1).alias("one"))
+    was = sent.where(F.col(f"e.{ts}").isNotNull()).select(F.col(f"e.{project}").alias(project), F.col(f"e.{ts}").alias("t"), F.lit(0).alias("one"))
+    asked = now.unionByName(was).groupBy(project).agg(F.sum("one").alias("n_new"), F.min("t").alias("first_new"), F.count("t").alias("n_dated"))
+    news = batch.select(project).union(was.select(project)).distinct().join(asked, project, "left").join(tails, project, "left")
+    kind = F.when(F.col("n_dated").isNull(), "no_change").when(F.col("n_dated") == 0, "undated_only").when(F.col("tail").isNull() | (F.col("first_new") > F.col("tail")), "tail").otherwise("rebuild")
     return news.select(project, F.coalesce("n_new", F.lit(0)).alias("n_new"), kind.alias("disposition"))
 
 
+def classify_changed(assets: DataFrame, changed: DataFrame, tails: DataFrame, project: str = "project_id", ts: str = "captured_at_unix_ms", key: str = "asset_id") -> DataFrame:
+    """What the declared ``changed`` keys ask of each project, given its last time analysed before (``tails``: project, ``tail``).
+
+    A key that ``assets`` doesn't have is an error.  Without an earlier tail, with
+    a change at or before it, or with a later asset that wasn't declared, a
+    project with dated changes needs a rebuild.
+    """
+    ids = changed.select(key).distinct()
+    unknown = ids.join(assets.select(key), key, "left_anti").limit(1).collect()
+    if unknown:
+        raise ValueError(f"unknown changed id {unknown[0][0]}")
+    marked = assets.select(key, project, ts).join(ids, key, "left_semi").withColumn("said", F.lit(True)).unionByName(assets.select(key, project, ts).join(ids, key, "left_anti").withColumn("said", F.lit(False)))
+    t, said = F.col(ts), F.col("said")
+    of = marked.join(tails, project, "left").groupBy(project).agg(
+        F.count_if(said).alias("n"), F.count_if(said & t.isNotNull()).alias("dated"),
+        F.count_if(t.isNotNull() & F.when(said, F.col("tail").isNull() | (t <= F.col("tail"))).otherwise(t > F.col("tail"))).alias("bad"),
+    )
+    kind = F.when(F.col("n") == 0, "no_change").when(F.col("dated") == 0, "undated_only").when(F.col("bad") == 0, "tail").otherwise("rebuild")
+    return of.select(project, kind.alias("disposition"))
+
+
 def tail_input(existing: DataFrame, batch: DataFrame, k: int = 4, project: str = "project_id", order: tuple[str, ...] = ("captured_at_unix_ms", "asset_id")) -> DataFrame:
     """The last ``k`` rows of each project (context) with its new rows.
 
