@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_step
+from ..session import cut_step, merge_join
 
 
 def _twice(parents: DataFrame) -> DataFrame:
     """``node, parent`` with every vertex moved on to its parent's parent."""
     up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-    return parents.join(up, "parent").select("node", F.col("grand").alias("parent"))
+    return merge_join(parents, up, "parent").select("node", F.col("grand").alias("parent"))
 
 
 def _jump(parents: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def _jump(parents: DataFrame) -> DataFrame:
     while True:
         twice = _twice(parents)
         up = twice.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        parents = cut_step(twice.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
+        parents = cut_step(merge_join(twice, up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
         if parents.where("moved").isEmpty():
             return parents.select("node", "parent")
         parents = parents.select("node", "parent")
@@ -48,13 +48,13 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         maps.append(roots)
         at_u = roots.select(F.col("node").alias("u"), F.col("parent").alias("ru"))
         at_v = roots.select(F.col("node").alias("v"), F.col("parent").alias("rv"))
-        links = cut_step(links.join(at_u, "u").join(at_v, "v").where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+        links = cut_step(merge_join(merge_join(links, at_u, "u"), at_v, "v").where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
         if links.isEmpty():
             break
     label = maps[-1]
     for lower in reversed(maps[:-1]):
         up = label.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
-        label = lower.join(up, "parent", "left").select("node", F.coalesce("top", "parent").alias("parent"))
+        label = merge_join(lower, up, "parent", "left").select("node", F.coalesce("top", "parent").alias("parent"))
     return label.select("node", F.col("parent").alias("label"))
 
 
@@ -62,4 +62,4 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: str,
     """Join a side with hot keys to one with few rows a key: hot keys are spread over ``salts`` tasks."""
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_salt", F.col("_salt").cast("bigint"))
     b = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    return b.join(s, [*on, "_salt"], how).drop("_salt")
+    return merge_join(b, s, [*on, "_salt"], how).drop("_salt")

@@ -100,5 +100,14 @@ def ordered_chunks(df: DataFrame, *by: str, n: int | None = None) -> DataFrame:
     return cut(out)
 
 
+def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the data: by sorting, which spills, never by a broadcast.
+
+    Left to itself Spark would broadcast a side whose estimated or compressed size
+    is small, though its rows may fill the driver.
+    """
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def is_local_path(path: str) -> bool:
     return path.startswith("/") and os.path.isdir(os.path.dirname(path))
