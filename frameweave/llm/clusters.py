@@ -1,19 +1,23 @@
 """Similarity clusters of fingerprints by grid density clustering.
 
 The 64-bit hash is quantised to four 16-bit bands: each (project, band, value) is
-a cell of the grid.  Copies with the same evidence are one point with a count.
+a cell of the grid.  Assets with the same evidence are one point with a count.
 
 1. Cells are counted; the point with the most copies in a cell is its hub, and
    every point of the cell is verified against the hub.  Minimum labels are spread
    over these links: dense cells become one label at linear cost.
-2. Cells are adjacent when their values differ in one bit.  Two hashes within 10
-   bits differ by at most 2 in one of the four bands, so both reach a common cell
-   in one step.  Where points of different labels meet in a cell, they are
-   verified against each other; pairs of one label are never formed, because all
-   but the cell's commonest label meet the others.
+2. Cells are adjacent when their values differ in at most two bits: two hashes
+   within 10 bits differ by at most 2 in one of the four bands.  Adjacent cells are
+   found among the cells, not the points, by flipping one bit on both sides.  Only
+   cells of different labels matter; their points are met and verified.
 3. Minimum labels are spread over the verified links between labels.
 
-Steps 1 and 2 together find every link between labels, so the result equals the
+Two adjacent cells that both hold many points (hashes that share a band, as blank
+borders make them) don't meet all their points: the pair becomes a grid of its own
+over the three other bands, where 10 bits leave at most 3, 3 or 2 to one of them.
+The relation links any two points, so the least density of a cell is one point.
+
+All steps together find every link between labels, so the result equals the
 connected components over all pairs.
 """
 
@@ -24,11 +28,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, salted_join
-from ..operators.similarity import color_similarity, cosine_unit, hex_bits, visual_similarity
-from ..session import cut
+from ..operators.similarity import WEIGHTS, color_similarity, hex_bits
+from ..session import cut, merge_join
 
 NEAR_DISTANCE, NEAR_SIMILARITY = 10, 0.86
 BANDS, BITS = 4, 16
+CROWD = 256  # points of both of two adjacent cells from which on they become a grid of their own
+SHARE = 1024  # points of a cell that one task meets with its neighbours
 
 
 def points(evidence: DataFrame) -> DataFrame:
@@ -49,68 +55,121 @@ def points(evidence: DataFrame) -> DataFrame:
     return one.select("project_id", "asset_id", key.alias("key"), hex_bits("hash").alias("bits"), F.col("color_signature").alias("color"), F.col("embedding").alias("lum"))
 
 
-def _linked(a: str, b: str, gate: tuple[int, float]) -> Column:
-    d = F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits")))
-    near = visual_similarity(d, color_similarity(F.col(f"{a}color"), F.col(f"{b}color")), cosine_unit(F.col(f"{a}lum"), F.col(f"{b}lum")))
-    return (d <= gate[0]) & (near >= gate[1])
+def _dot(a: str, b: str) -> Column:
+    times = F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)).cast("int") * F.coalesce(y, F.lit(0)).cast("int"))
+    return F.aggregate(times, F.lit(0), lambda s, x: s + x)
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, gate: tuple[int, float]) -> DataFrame:
+    """The pairs ``a, b`` (ids) that pass the gate; the weights are those of the visual similarity."""
+    side = lambda x: nodes.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("project_id", "bits", "color", "lum", "square")])
+    both = merge_join(merge_join(pairs, side("a"), "a"), side("b"), "b").where("a_project_id = b_project_id").withColumn("d", _distance("a_bits", "b_bits"))
+    cos = _dot("a_lum", "b_lum").cast("double") / (F.sqrt(F.col("a_square").cast("double")) * F.sqrt(F.col("b_square").cast("double")))
+    unit = F.when((F.col("a_square") > 0) & (F.col("b_square") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos + 1.0) / 2.0))).otherwise(F.lit(0.5))
+    light = F.when(F.size("a_lum") == F.size("b_lum"), unit).otherwise(F.lit(0.0))
+    near = (1.0 - F.col("d") / 64.0) * WEIGHTS[0] + color_similarity("a_color", "b_color") * WEIGHTS[1] + light * WEIGHTS[2]
+    return both.where((F.col("d") <= gate[0]) & (near >= gate[1])).select("a", "b")
 
 
 def _band(bits: Column, band: int) -> Column:
     return F.shiftrightunsigned(bits, band * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
-def _cell_at(band: int):
-    """From a step (0 or one bit) to the cell of a band that lies this step away."""
+def _placed(items: DataFrame, bands: list[int], *carried: str) -> DataFrame:
+    """Every item in its cell of each band: ``cell`` (a number made of grid, band and value), ``band``, ``value``."""
+    at = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), _band(F.col("bits"), b).alias("value")) for b in bands])).alias("at")
+    rows = items.select("grid", *carried, at)
+    return rows.select(F.xxhash64("grid", "at.band", "at.value").alias("cell"), "grid", "at.band", "at.value", *carried)
 
-    def at(step: Column) -> Column:
-        return F.struct(F.lit(band).alias("band"), _band(F.col("bits"), band).bitwiseXOR(step).alias("value"))
 
-    return at
+def _flips(least: int, most: int) -> list[int]:
+    """The band values of ``least`` to ``most`` set bits."""
+    return [v for v in range(1 << BITS) if least <= v.bit_count() <= most]
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, gate: tuple[int, float]) -> DataFrame:
-    """The pairs ``a, b`` (keys) that pass the gate."""
-    left = nodes.select(F.col("key").alias("a"), F.col("bits").alias("l_bits"), F.col("color").alias("l_color"), F.col("lum").alias("l_lum"))
-    right = nodes.select(F.col("key").alias("b"), F.col("bits").alias("r_bits"), F.col("color").alias("r_color"), F.col("lum").alias("r_lum"))
-    return pairs.join(left, "a").join(right, "b").where(_linked("l_", "r_", gate)).select("a", "b")
+def _adjacent(cells: DataFrame, bands: list[int], reach: dict[int, int]) -> DataFrame:
+    """``one, two`` of different cells of a band within ``reach`` bits, and their numbers of points, but for cells of one label only.
 
+    One side flips half of the bits, the other the rest, so that both come to a
+    common value.
+    """
+    kinds = sorted({reach[b] for b in bands})
+    out = None
+    for r in kinds:
+        mine = cells.where(F.col("band").isin([b for b in bands if reach[b] == r]))
 
-def label_points(nodes: DataFrame, gate: tuple[int, float] = (NEAR_DISTANCE, NEAR_SIMILARITY)) -> DataFrame:
-    """``key, label`` of every node (``project_id, key, bits, color, lum, copies``); the label is a node's key."""
-    cells = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), _band(F.col("bits"), b).alias("value")) for b in range(BANDS)])).alias("cell")
-    placed = nodes.select("project_id", "key", "copies", cells).select("project_id", "key", "copies", "cell.*")
-    cell = ["project_id", "band", "value"]
-    hubs = placed.groupBy(*cell).agg(F.min(F.struct(-F.col("copies"), F.col("key").alias("hub"))).alias("h"), F.count(F.lit(1)).alias("points")).where("points > 1")
-    stars = salted_join(placed, hubs.select(*cell, F.col("h.hub").alias("b")), cell, "key").where("key != b").select(F.col("key").alias("a"), "b").distinct()
-    links = cut(_verified(stars, nodes, gate))
-    first = connected_components(links, "a", "b")
-    labelled = cut(nodes.join(first.withColumnRenamed("node", "key"), "key", "left").select("project_id", "key", "bits", F.coalesce("label", "key").alias("label")))
-
-    steps = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("shiftleft", F.lit(1), i)))
-    around = [F.transform(steps, _cell_at(b)) for b in range(BANDS)]
-    near = F.explode(F.flatten(F.array(*around))).alias("cell")
-    # Points of one hash and label act as one until they are verified.
-    groups = labelled.select("project_id", "bits", "label").distinct()
-    reach = groups.select("project_id", "bits", "label", near).select("project_id", "bits", "label", "cell.*")
-    per_label = reach.groupBy(*cell, "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per_label.groupBy(*cell).agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select(*cell, F.col("m.label").alias("main"))
-    here = cut(salted_join(reach, mixed, cell, "bits"))
-    minor = here.where("label != main").select(*cell, F.col("bits").alias("x_bits"), F.col("label").alias("x_label"))
-    close = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("bits"))) <= gate[0]
-    met = minor.join(here, cell).where((F.col("x_label") != F.col("label")) & close)
-    # Either order of a pair is the same pair.
-    one, two = F.struct(F.col("x_label").alias("l"), F.col("x_bits").alias("b")), F.struct(F.col("label").alias("l"), F.col("bits").alias("b"))
-    pairs = met.select("project_id", F.least(one, two).alias("p"), F.greatest(one, two).alias("q")).distinct()
-    of = labelled.select("project_id", F.struct(F.col("label").alias("l"), F.col("bits").alias("b")).alias("at"), "key")
-    keyed = (
-        pairs.join(of.select("project_id", F.col("at").alias("p"), F.col("key").alias("a")), ["project_id", "p"])
-        .join(of.select("project_id", F.col("at").alias("q"), F.col("key").alias("b")), ["project_id", "q"]).select("a", "b")
+        def moved(bits: int, side: str, mine=mine) -> DataFrame:
+            step = F.explode(F.array(*[F.lit(v) for v in _flips(0, bits)])).alias("step")
+            rows = mine.select("grid", "band", "value", F.col("cell").alias(side), F.col("only").alias(f"{side}_only"), F.col("n").alias(f"{side}_n"), step)
+            return rows.select(F.xxhash64("grid", "band", F.col("value").bitwiseXOR(F.col("step"))).alias("key"), side, f"{side}_only", f"{side}_n")
+
+        meet = merge_join(moved(r // 2, "one"), moved(r - r // 2, "two"), "key")
+        other = (F.col("one_only") != F.col("two_only")) | (F.col("one_only") < 0)
+        order = F.col("one") < F.col("two") if r % 2 == 0 else F.col("one") != F.col("two")
+        pairs = meet.where(order & other).select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"), F.when(F.col("one") < F.col("two"), F.col("one_n")).otherwise(F.col("two_n")).alias("one_n"), F.when(F.col("one") < F.col("two"), F.col("two_n")).otherwise(F.col("one_n")).alias("two_n"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
+
+
+def _close(items: DataFrame, bands: list[int], distance: int) -> DataFrame:
+    """``a, b`` of all items (``grid, id, label, bits``) of one grid and different labels within ``distance`` bits.
+
+    ``distance`` may lie in the given bands in any way: of its bits at most
+    ``distance // n`` lie in one of n bands, and in the last of them even fewer.
+    """
+    n = len(bands)
+    # The least sum of bits that exceeds the distance in no band: reach adds up to distance - n + 1.
+    spare = distance - n + 1
+    reach = {b: spare // n + (1 if k < spare % n else 0) for k, b in enumerate(bands)}
+    placed = cut(_placed(items, bands, "id", "label", "bits"))
+    cells = cut(
+        placed.groupBy("cell", "grid", "band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .select("cell", "grid", "band", "value", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(-1)).alias("only"))
     )
-    more = _verified(keyed, nodes, gate)
-    name = labelled.select("key", "label")
-    between = cut(more.join(name.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(name.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b").select("la", "lb").distinct())
+    within = cells.where("only < 0").select(F.col("cell").alias("one"), F.col("cell").alias("two"), F.col("n").alias("one_n"), F.col("n").alias("two_n"))
+    pairs = cut(_adjacent(cells, bands, reach).unionByName(within))
+    crowded = F.least("one_n", "two_n") > CROWD
+    # The smaller cell's points come first; the larger cell is met in shares.
+    turn = lambda x, y: F.when(F.col("one_n") <= F.col("two_n"), F.col(x)).otherwise(F.col(y))
+    shares = F.ceil(F.greatest("one_n", "two_n") / F.lit(SHARE)).cast("int")
+    light = (pairs.where(~crowded) if n > 2 else pairs).select(turn("one", "two").alias("cell"), turn("two", "one").alias("big"), shares.alias("shares"))
+    few = merge_join(light, placed.select("cell", F.col("id").alias("a"), F.col("label").alias("la"), F.col("bits").alias("ba")), "cell")
+    few = few.select("a", "la", "ba", F.col("big").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    large = cells.where(F.col("n") > SHARE).select("cell", F.ceil(F.col("n") / F.lit(SHARE)).cast("int").alias("shares"))
+    many = salted_join(placed.select("cell", "id", "label", "bits"), large, ["cell"], "id", how="left")
+    many = many.select("cell", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("bits").alias("bb"), F.coalesce(F.pmod(F.xxhash64("id"), F.col("shares")), F.lit(0)).cast("int").alias("share"))
+    met = merge_join(few, many, ["cell", "share"]).where((F.col("la") != F.col("lb")) & (_distance("ba", "bb") <= distance))
+    found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if n <= 2:
+        return found
+    heavy = cut(pairs.where(crowded).select("one", "two"))
+    # At most one row a band.
+    for b in [r["band"] for r in merge_join(heavy.select(F.col("one").alias("cell")), cells.select("cell", "band"), "cell").select("band").distinct().collect()]:
+        both = heavy.select(F.xxhash64("one", "two").alias("grid"), F.explode(F.array_distinct(F.array("one", "two"))).alias("cell"))
+        inner = merge_join(placed.where(F.col("band") == b).select("cell", "id", "label", "bits"), both, "cell").select("grid", "id", "label", "bits")
+        found = found.unionByName(_close(inner, [x for x in bands if x != b], distance))
+    return found
+
+
+def label_points(nodes: DataFrame, gate: tuple[int, float] = (NEAR_DISTANCE, NEAR_SIMILARITY)) -> DataFrame:
+    """``id, label`` of every node (``id, project_id, grid, bits, color, lum, square, copies``); the label is a node's id."""
+    bands = list(range(BANDS))
+    placed = _placed(nodes, bands, "id", "bits", "copies")
+    hubs = placed.groupBy("cell").agg(F.min(F.struct(-F.col("copies"), F.col("id").alias("hub"), F.col("bits").alias("hub_bits"))).alias("h"), F.count(F.lit(1)).alias("points")).where("points > 1")
+    around = salted_join(placed.select("cell", "id", "bits"), hubs.select("cell", "h.hub", "h.hub_bits"), ["cell"], "id", salts=4)
+    stars = around.where((F.col("id") != F.col("hub")) & (_distance("bits", "hub_bits") <= gate[0])).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    first = connected_components(cut(_verified(stars, nodes, gate)), "a", "b")
+    labelled = cut(merge_join(nodes.select("id", "grid", "bits"), first.select(F.col("node").alias("id"), "label"), "id", "left").select("id", "grid", "bits", F.coalesce("label", "id").alias("label")))
+    more = _verified(_close(labelled, bands, gate[0]).distinct(), nodes, gate)
+    name = labelled.select("id", "label")
+    at = lambda x: name.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
+    between = cut(merge_join(merge_join(more, at("a"), "a"), at("b"), "b").select("la", "lb").distinct())
     top = connected_components(between, "la", "lb")
-    return name.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("key", F.coalesce("top", "label").alias("label"))
+    return merge_join(name, top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("id", F.coalesce("top", "label").alias("label"))
 
 
 def cluster_members(evidence: DataFrame, gate: tuple[int, float] = (NEAR_DISTANCE, NEAR_SIMILARITY)) -> DataFrame:
@@ -119,10 +178,12 @@ def cluster_members(evidence: DataFrame, gate: tuple[int, float] = (NEAR_DISTANC
     ``cluster_id`` is the smallest asset of the cluster.  An empty table has no clusters.
     """
     assets = cut(points(evidence))
-    nodes = cut(assets.groupBy("key").agg(F.min("project_id").alias("project_id"), F.min("bits").alias("bits"), F.first("color").alias("color"), F.first("lum").alias("lum"), F.count(F.lit(1)).alias("copies"), F.min("asset_id").alias("least")))
-    label = cut(label_points(nodes, gate).join(nodes.select("key", "copies", "least"), "key"))
+    one = assets.groupBy("key").agg(F.min("project_id").alias("project_id"), F.min("bits").alias("bits"), F.first("color").alias("color"), F.first("lum").alias("lum"), F.count(F.lit(1)).alias("copies"), F.min("asset_id").alias("least"))
+    # Numbers stay as they are once written; a grid number shared by two projects is told apart when pairs are verified.
+    nodes = cut(one.withColumns({"grid": F.xxhash64("project_id"), "square": _dot("lum", "lum"), "id": F.monotonically_increasing_id()}))
+    label = cut(merge_join(label_points(nodes, gate), nodes.select("id", "key", "copies", "least"), "id").select("key", "label", "copies", "least"))
     size = label.groupBy("label").agg(F.sum("copies").alias("n"), F.min("least").alias("cluster_id")).where("n > 1")
-    of_key = label.select("key", "label").join(size, "label").select("key", "cluster_id")
+    of_key = salted_join(label.select("key", "label"), size, ["label"], "key", salts=4).select("key", "cluster_id")
     return salted_join(assets.select("project_id", "asset_id", "bits", "key"), of_key, ["key"], "asset_id").select("project_id", "cluster_id", "asset_id", "bits")
 
 
