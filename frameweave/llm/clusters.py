@@ -51,7 +51,8 @@ def points(evidence: DataFrame) -> DataFrame:
     )
     row = F.min(F.struct(F.lower("perceptual_hash").alias("hash"), "color_signature", "embedding")).alias("r")
     one = ok.groupBy("project_id", "asset_id").agg(row).select("project_id", "asset_id", "r.*")
-    key = F.sha2(F.concat_ws("|", "project_id", "hash", F.array_join("color_signature", ",", "?"), F.array_join("embedding", ",", "?")), 256)
+    # Two 64-bit hashes beside the bits themselves tell pieces of evidence apart.
+    key = F.concat_ws("-", "hash", F.xxhash64("project_id", "color_signature", "embedding").cast("string"), F.xxhash64(F.lit(1), "embedding", "color_signature", "project_id").cast("string"))
     return one.select("project_id", "asset_id", key.alias("key"), hex_bits("hash").alias("bits"), F.col("color_signature").alias("color"), F.col("embedding").alias("lum"))
 
 
