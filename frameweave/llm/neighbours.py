@@ -1,95 +1,112 @@
 """The k most similar vectors of every vector, by a forest of random-projection trees.
 
-A tree halves the vectors at every node by the sign of a projection on the
-difference of two random vectors of the node, at the median.  Each vector lies in
-one leaf of every tree.  A query looks into the leaves of all trees in the order
-of one shared priority queue (a leaf's priority is the smallest signed margin on
-its path, so the own leaf of every tree comes first and then the leaves beyond
-the nearest split), and the vectors met there are reranked by exact cosine.  As
-cosine is symmetric, a query is a candidate for the vectors of the leaf, too.
-
-The trees' splits are fitted on a bounded sample (``SAMPLE`` vectors of a kind);
-every vector is indexed and every vector is a query.  Vectors of one kind with
-equal values are one point of the index with its smallest members.  A leaf that is
-still large is searched by a forest of its own, so a task never compares a large
-leaf with itself.
+A tree halves the vectors at every node, at the median of their projections on the
+difference of two random means of the node's vectors.  Each vector lies in one leaf
+of every tree, its homes.  A query walks all trees with one shared priority queue:
+a step to the far side of a split adds the squared margin, so the homes come first
+and then the leaves beyond the nearest splits.  The queue is walked level by level
+and keeps only as many nodes as leaves are wanted; a node costs no less than its
+parent, so these are the first leaves of the whole queue.
+
+Two rounds: first every vector is searched in its homes, which gives it a bound, the
+k-th best cosine so far; then it visits the next leaves of its queue, where only what
+reaches its bound is reranked by exact cosine.  As cosine is symmetric, a visitor is a
+candidate for the vectors at home, too.
+
+The splits are fitted on a bounded sample (``SAMPLE`` vectors of a kind); every vector
+is indexed and every vector is a query.  How many leaves are visited isn't a constant:
+``CHECKED`` vectors of a kind are searched by brute force in all rows, and the queue
+is followed as far as their true neighbours need to be found to ``RECALL``.  So recall
+doesn't fall as a table grows; the work per vector rises instead.
+
+Vectors travel packed, many of one leaf in a row.  A task holds the home vectors of
+one leaf and lets the visitors stream by.  Vectors of one kind with equal values are
+one point of the index with its smallest members.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut, ordered_chunks
+from ..operators.components import salted_join
+from ..session import cut, merge_join, ordered_chunks
 
 K, DECIMALS = 5, 6
-TREES, LEAF, PROBES = 6, 700, 36
-SAMPLE, MOST_DEPTH, SEED = 20_000, 11, 7
-_BLOCK = 8 * LEAF
+TREES, LEAF = 3, 1200
+SAMPLE, PER_LEAF, CHECKED, RECALL, SEED = 20_000, 8, 256, 0.965, 7
+_NEAR = 3e-6  # what rounding and single precision may hide
+_CELLS = 4_000_000  # similarities that a task holds at once
+_BUCKET = 11  # bits of a vector's number within the rows it is merged with
 
 
 class Forest:
-    """Complete binary trees of one depth: normals and thresholds of their nodes in heap order."""
+    """Complete binary trees of one depth: normals and thresholds of their nodes by level, tree after tree."""
 
-    def __init__(self, normals: np.ndarray, thresholds: np.ndarray, depth: int, probes: int) -> None:
-        self.normals, self.thresholds, self.depth, self.probes = normals, thresholds, depth, probes
-        self.trees = len(normals)
+    def __init__(self, normals: list[np.ndarray], thresholds: list[np.ndarray], trees: int, probes: int) -> None:
+        self.normals, self.thresholds, self.trees, self.probes = normals, thresholds, trees, probes
+        self.leaves = trees << len(normals)
 
     @classmethod
-    def fit(cls, unit: np.ndarray, n: int, seed: int, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES) -> Forest:
-        depth = min(MOST_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / leaf)))), max(0, int(np.log2(max(len(unit), 1) / 8))))
+    def fit(cls, unit: np.ndarray, n: int, seed: int = SEED, trees: int = TREES, leaf: int = LEAF) -> Forest:
+        """Leaves of about ``leaf`` of the ``n`` vectors, but of at least ``PER_LEAF`` vectors of the sample ``unit``."""
+        depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / leaf))), int(np.log2(max(len(unit), 1) / PER_LEAF))))
         trees = trees if depth else 1
         rnd = np.random.default_rng(seed)
-        inner = (1 << depth) - 1
-        normals = np.zeros((trees, inner, unit.shape[1]), dtype=np.float32)
-        thresholds = np.zeros((trees, inner), dtype=np.float32)
-        for t in range(trees):
-            held = {0: np.arange(len(unit))}
-            for node in range(inner):
-                rows = held.pop(node)
-                if len(rows) > 1:
-                    p, q = rnd.choice(rows, 2, replace=False)
-                    normal = unit[p] - unit[q]
-                    if not np.any(normal):
-                        normal = rnd.standard_normal(unit.shape[1])
-                else:
-                    normal = rnd.standard_normal(unit.shape[1])
-                normal = (normal / np.linalg.norm(normal)).astype(np.float32)
+        normals = [np.zeros((trees << level, unit.shape[1]), dtype=np.float32) for level in range(depth)]
+        thresholds = [np.zeros(trees << level, dtype=np.float32) for level in range(depth)]
+        held = [np.arange(len(unit)) for _ in range(trees)]
+        for level in range(depth):
+            below = []
+            for node, rows in enumerate(held):
+                normals[level][node] = normal = _normal(unit, rows, rnd)
                 side = unit[rows] @ normal
-                cut_at = np.float32(np.median(side)) if len(rows) else np.float32(0)
-                normals[t, node], thresholds[t, node] = normal, cut_at
-                held[2 * node + 1], held[2 * node + 2] = rows[side <= cut_at], rows[side > cut_at]
-        return cls(normals, thresholds, depth, min(probes, trees << depth))
-
-    def route(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each vector the first ``probes`` leaves of the shared queue, and whether each is its own."""
-        n, leaves = len(unit), 1 << self.depth
-        priority = np.empty((n, self.trees * leaves), dtype=np.float32)
-        own = np.empty((n, self.trees), dtype=np.int64)
-        for t in range(self.trees):
-            best = np.full((n, 1), np.inf, dtype=np.float32)
-            at = np.zeros(n, dtype=np.int64)
-            margin = unit @ self.normals[t].T - self.thresholds[t] if self.depth else None
-            for level in range(self.depth):
-                first = (1 << level) - 1
-                m = margin[:, first : first + (1 << level)]
-                right = m[np.arange(n), at] > 0
-                at = 2 * at + right
-                best = np.stack([np.minimum(best, -m), np.minimum(best, m)], axis=2).reshape(n, -1)
-            priority[:, t * leaves : (t + 1) * leaves] = best
-            own[:, t] = t * leaves + at
-        priority[np.arange(n)[:, None], own] = np.inf  # the own leaves first, also where a margin is zero
-        if self.probes < priority.shape[1]:
-            chosen = np.argpartition(-priority, self.probes - 1, axis=1)[:, : self.probes]
-        else:
-            chosen = np.tile(np.arange(priority.shape[1]), (n, 1))
-        home = (chosen[:, :, None] == own[:, None, :]).any(axis=2)
-        return chosen, home
+                thresholds[level][node] = at = np.float32(np.median(side)) if len(rows) else np.float32(0)
+                below += [rows[side <= at], rows[side > at]]
+            held = below
+        return cls(normals, thresholds, trees, trees)
+
+    def _margins(self, unit: np.ndarray, level: int, at: np.ndarray) -> np.ndarray:
+        normals, thresholds = self.normals[level], self.thresholds[level]
+        if len(normals) <= 16 * at.shape[1]:
+            return np.take_along_axis(unit @ normals.T - thresholds, at, 1)
+        return np.einsum("nd,nmd->nm", unit, normals[at]) - thresholds[at]
+
+    def queue(self, unit: np.ndarray, most: int) -> np.ndarray:
+        """For each vector the first ``most`` leaves of the shared queue, in its order (the homes first, tree by tree)."""
+        n = len(unit)
+        at, cost = np.tile(np.arange(self.trees), (n, 1)), np.zeros((n, self.trees), dtype=np.float32)
+        for level in range(len(self.normals)):
+            m = self._margins(unit, level, at)
+            far = np.maximum(m * m, 1e-12)
+            at = np.concatenate([2 * at, 2 * at + 1], axis=1)
+            cost = np.concatenate([cost + np.where(m > 0, far, 0), cost + np.where(m > 0, 0, far)], axis=1)
+            if cost.shape[1] > most:
+                keep = np.argpartition(cost, most - 1, axis=1)[:, :most]
+                at, cost = np.take_along_axis(at, keep, 1), np.take_along_axis(cost, keep, 1)
+        return np.take_along_axis(at, np.lexsort((at, cost), axis=1), 1)
+
+
+def _normal(unit: np.ndarray, rows: np.ndarray, rnd: np.random.Generator, few: int = 200, rounds: int = 5) -> np.ndarray:
+    """The direction between two means of random vectors of a node; a random one where they don't differ."""
+    some = unit[rnd.choice(rows, min(len(rows), few), replace=False)] if len(rows) > 1 else np.zeros((0, unit.shape[1]), np.float32)
+    if len(some) > 1:
+        a, b = some[0], some[1]
+        for _ in range(rounds):
+            to_a = some @ a >= some @ b
+            if to_a.all() or not to_a.any():
+                break
+            a, b = some[to_a].mean(0), some[~to_a].mean(0)
+            a, b = a / max(np.linalg.norm(a), 1e-9), b / max(np.linalg.norm(b), 1e-9)
+        if np.linalg.norm(a - b) > 1e-6:
+            return ((a - b) / np.linalg.norm(a - b)).astype(np.float32)
+    w = rnd.standard_normal(unit.shape[1])
+    return (w / np.linalg.norm(w)).astype(np.float32)
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -98,80 +115,66 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Rounded cosine of each row of ``q`` (n, d) with its candidates ``c`` (n, m, d)."""
+    """Rounded cosine of each row of ``q`` with the same row of ``c``."""
     q, c = q.astype(np.float64), c.astype(np.float64)
-    dot = np.einsum("nd,nmd->nm", q, c)
-    return np.round(dot / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=2)), DECIMALS)
-
-
-def nearest(q_id: np.ndarray, q: np.ndarray, h_id: np.ndarray, h: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Exact k nearest of every query among ``h`` by rounded cosine, ties to the smaller id; -1 pads."""
-    slack = k + 12
-    qu, hu = _unit(q), _unit(h)
-    ids = np.full((len(q), k), -1, dtype=np.int64)
-    sims = np.full((len(q), k), -2.0)
-    for s in range(0, len(q), 1024):
-        e = min(s + 1024, len(q))
-        rough = qu[s:e] @ hu.T
-        rough[q_id[s:e, None] == h_id[None, :]] = -3.0
-        m = min(slack, len(h))
-        top = np.argpartition(-rough, m - 1, axis=1)[:, :m] if m < len(h) else np.tile(np.arange(len(h)), (e - s, 1))
-        exact = _exact(q[s:e], h[top])
-        own = h_id[top] == q_id[s:e, None]
-        exact[own] = -3.0
-        order = np.lexsort((h_id[top], -exact), axis=1)[:, :k]
-        got_id, got = np.take_along_axis(h_id[top], order, 1), np.take_along_axis(exact, order, 1)
-        ids[s:e, : got_id.shape[1]], sims[s:e, : got.shape[1]] = got_id, got
-        if m < len(h):  # more than ``slack`` vectors tie with the k-th: take them all
-            unsure = np.nonzero((rough >= got[:, -1:] - 3e-6).sum(axis=1) > m)[0]
-            for r in unsure:
-                near = np.nonzero(rough[r] >= got[r, -1] - 3e-6)[0]
-                exact_r = _exact(q[s + r : s + r + 1], h[near][None])[0]
-                by = np.lexsort((h_id[near], -exact_r))[:k]
-                ids[s + r], sims[s + r] = h_id[near][by], exact_r[by]
-    ids[sims < -1.5] = -1
-    return ids, sims
-
-
-def _merge(ids: np.ndarray, sims: np.ndarray, new_ids: np.ndarray, new_sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    both, s = np.concatenate([ids, new_ids], axis=1), np.concatenate([sims, new_sims], axis=1)
-    order = np.lexsort((both, -s), axis=1)
-    both, s = np.take_along_axis(both, order, 1), np.take_along_axis(s, order, 1)
-    again = np.zeros(both.shape, dtype=bool)
-    again[:, 1:] = both[:, 1:] == both[:, :-1]  # the same id has the same cosine, so it stands beside itself
-    s = np.where(again, -2.0, s)
-    order = np.lexsort((both, -s), axis=1)[:, :k]
-    both, s = np.take_along_axis(both, order, 1), np.take_along_axis(s, order, 1)
-    return np.where(s < -1.5, -1, both), s
-
-
-def search(q_id: np.ndarray, q: np.ndarray, h_id: np.ndarray, h: np.ndarray, k: int = K, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`nearest` for a small ``h``; a large one through a forest of its own."""
-    if len(h) <= _BLOCK or len(np.unique(h_id)) <= _BLOCK:
-        return nearest(q_id, q, h_id, h, k)
-    rnd = np.random.default_rng(seed)
-    unit = _unit(h)
-    forest = Forest.fit(unit[rnd.permutation(len(h))[:SAMPLE]], len(h), seed + 1)
-    if forest.depth == 0:
-        return nearest(q_id, q, h_id, h, k)
-    h_leaf, h_home = forest.route(unit)
-    q_leaf, _ = forest.route(_unit(q))
-    ids, sims = np.full((len(q), k), -1, dtype=np.int64), np.full((len(q), k), -2.0)
-    for leaf in range(forest.trees << forest.depth):
-        mine, there = np.nonzero((q_leaf == leaf).any(axis=1))[0], np.nonzero(((h_leaf == leaf) & h_home).any(axis=1))[0]
-        if len(mine) and len(there):
-            ids[mine], sims[mine] = _merge(ids[mine], sims[mine], *nearest(q_id[mine], q[mine], h_id[there], h[there], k), k)
-    return ids, sims
-
-
-def _packed(v: np.ndarray) -> bytes:
-    """A vector as bytes, without loss: one byte a value where all are small whole numbers, else four."""
-    small = v.astype(np.int8) if np.abs(v).max() <= 127 else None
-    return b"\x01" + small.tobytes() if small is not None and (small == v).all() else b"\x04" + v.tobytes()
-
-
-def _unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, dtype=np.int8, offset=1).astype(np.float32) if b[0] == 1 else np.frombuffer(b, dtype=np.float32, offset=1)
+    return np.round(np.einsum("nd,nd->n", q, c) / np.sqrt(np.einsum("nd,nd->n", q, q) * np.einsum("nd,nd->n", c, c)), DECIMALS)
+
+
+def best(of: np.ndarray, near: np.ndarray, sims: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each number in ``of``, by ``sims`` and then the smaller ``near``; repeated pairs count once."""
+    order = np.lexsort((near, -sims, of))
+    of, near, sims = of[order], near[order], sims[order]
+    if len(of):  # a pair that was met twice has the same cosine, so it stands beside itself
+        fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (near[1:] != near[:-1])])
+        of, near, sims = of[fresh], near[fresh], sims[fresh]
+        starts = np.concatenate([[True], of[1:] != of[:-1]])
+        place = np.arange(len(of)) - np.maximum.accumulate(np.where(starts, np.arange(len(of)), 0))
+        keep = place < k
+        of, near, sims = of[keep], near[keep], sims[keep]
+    return of, near, sims
+
+
+def nearest(ids: np.ndarray, raw: np.ndarray, unit: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``of, near, cosine``: the exact k nearest others of every vector of a set, ties to the smaller id."""
+    n, m = len(ids), min(k + 4, len(ids))
+    step, got = max(1, _CELLS // max(n, 1)), []
+    for s in range(0, n, step):
+        e = min(s + step, n)
+        rough = unit[s:e] @ unit.T
+        rough[np.arange(e - s), np.arange(s, e)] = -3.0
+        top = np.argpartition(-rough, m - 1, axis=1)[:, :m]
+        kth = np.sort(np.take_along_axis(rough, top, 1), axis=1)[:, -min(k, m)]
+        # More than m may tie with the k-th: then all of them are looked at.
+        tied = np.nonzero((rough >= kth[:, None] - _NEAR).sum(axis=1) > m)[0]
+        pairs = [(np.repeat(np.arange(e - s), m), top.ravel())] + [(np.full(len(x), r), x) for r in tied for x in [np.nonzero(rough[r] >= kth[r] - _NEAR)[0]]]
+        i, j = np.concatenate([p[0] for p in pairs]) + s, np.concatenate([p[1] for p in pairs])
+        i, j = i[i != j], j[i != j]
+        got.append(best(ids[i], ids[j], _exact(raw[i], raw[j]), k))
+    return tuple(np.concatenate(x) for x in zip(*got))
+
+
+def visit(h_id, h, hu, h_least, q_id, q, qu, q_least, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``of, near, cosine`` of visitors ``q`` and home vectors ``h``: what reaches the bound (``least``) of either side."""
+    step, got = max(1, _CELLS // max(len(h_id), 1)), []
+    for s in range(0, len(q_id), step):
+        rough = qu[s : s + step] @ hu.T
+        i, j = np.nonzero(rough >= np.minimum(q_least[s : s + step, None], h_least[None, :]) - _NEAR)
+        exact = _exact(q[s + i], h[j])
+        for_q, for_h = exact >= q_least[s + i], exact >= h_least[j]
+        got.append(best(q_id[s + i][for_q], h_id[j][for_q], exact[for_q], k))
+        got.append(best(h_id[j][for_h], q_id[s + i][for_h], exact[for_h], k))
+    return tuple(np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _packed(m: np.ndarray) -> bytes:
+    """Vectors as bytes, without loss: one byte a value where all are small whole numbers, else four."""
+    small = m.astype(np.int8) if m.size and np.abs(m).max() <= 127 else None
+    return b"\x01" + small.tobytes() if small is not None and (small == m).all() else b"\x04" + m.astype(np.float32).tobytes()
+
+
+def _unpacked(b: bytes, n: int) -> np.ndarray:
+    flat = np.frombuffer(b, dtype=np.int8, offset=1).astype(np.float32) if b[0] == 1 else np.frombuffer(b, dtype=np.float32, offset=1)
+    return flat.reshape(n, -1)
 
 
 def index_points(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,52 +183,192 @@ def index_points(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     Points are numbered in the order of their smallest asset, so that ties by
     number are ties by asset id.
     """
-    assets = cut(vectors.withColumn("copy", F.sha2(F.array_join("vec", ","), 256)))
+    # Two 64-bit hashes of the values tell vectors apart.
+    copy = F.concat_ws("-", F.xxhash64("vec").cast("string"), F.xxhash64(F.lit(1), "vec").cast("string"))
+    assets = cut(vectors.withColumn("copy", copy))
     groups = assets.groupBy("kind", "copy").agg(F.min(F.struct("asset_id", "vec")).alias("m")).select("kind", "copy", F.col("m.asset_id").alias("least"), F.col("m.vec").alias("vec"))
     points = cut(ordered_chunks(groups, "kind", "least").withColumn("vid", F.monotonically_increasing_id()).drop("chunk"))
     return points, assets.drop("vec")
 
 
-def forests(points: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> dict[str, Forest]:
-    """A forest for each kind, fitted on the ``sample`` points with the smallest hash of their number."""
-    out = {}
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """``kind, vid, raw, bound`` of a batch's rows, kind by kind."""
+    kinds = np.array(batch.column("kind").to_pylist(), dtype=object)
+    vid = batch.column("vid").to_numpy(zero_copy_only=False)
+    bound = batch.column("bound").to_numpy(zero_copy_only=False) if "bound" in batch.schema.names else np.full(len(vid), -2.0)
+    vec = batch.column("vec")
+    ends = np.cumsum(vec.value_lengths().to_numpy(zero_copy_only=False))
+    flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    for kind in dict.fromkeys(kinds):
+        at = np.nonzero(kinds == kind)[0]
+        d = int(ends[at[0]] - (ends[at[0] - 1] if at[0] else 0))
+        yield kind, vid[at], flat[(ends[at] - d)[:, None] + np.arange(d)], bound[at]
+
+
+def forests(points: DataFrame, sample: int = SAMPLE, seed: int = SEED, k: int = K, leaf: int = LEAF) -> dict[str, Forest]:
+    """A forest for each kind, fitted on the ``sample`` points with the smallest hash of their number, and how far its queue is followed."""
+    models, asked = {}, {}
     for r in points.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect():  # kinds are few: one for each model
-        rows = points.where(F.col("kind") == r["kind"]).select("vec", F.xxhash64("vid").alias("h")).orderBy("h").limit(sample).select("vec").toPandas()
-        out[r["kind"]] = Forest.fit(_unit(np.stack(rows["vec"].to_numpy())), r["n"], seed)
-    return out
-
-
-def knn(points: DataFrame, k: int = K, sample: int = SAMPLE) -> DataFrame:
-    """``kind, vid, near: array<struct<neg: double, vid: bigint>>``: up to k neighbours, nearest first (``neg`` is minus the cosine)."""
-    models = forests(points, sample)
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for kind, part in pdf.groupby("kind", sort=False):
-                raw = np.stack(part["vec"].to_numpy()).astype(np.float32)
-                for s in range(0, len(raw), 2048):
-                    block, vid = raw[s : s + 2048], part["vid"].to_numpy()[s : s + 2048]
-                    chosen, home = models[kind].route(_unit(block))
-                    row, col = np.nonzero(np.ones_like(chosen, dtype=bool))
-                    packed = np.array([_packed(v) for v in block], dtype=object)
-                    yield pd.DataFrame({"kind": kind, "leaf": chosen[row, col].astype(np.int32), "home": home[row, col], "vid": vid[row], "vec": packed[row]})
-
-    def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = np.stack([_unpacked(v) for v in pdf["vec"]])
-        vid, home = pdf["vid"].to_numpy(), pdf["home"].to_numpy()
-        if not home.any():
-            return pd.DataFrame({"kind": [], "vid": [], "ids": [], "sims": []})
-        own = search(vid[home], raw[home], vid, raw, k)
-        guests = search(vid[~home], raw[~home], vid[home], raw[home], k)
-        ids, sims = np.concatenate([own[0], guests[0]]), np.concatenate([own[1], guests[1]])
-        return pd.DataFrame({"kind": pdf["kind"].iloc[0], "vid": np.concatenate([vid[home], vid[~home]]), "ids": list(ids), "sims": list(sims)})
-
-    routed = points.select("kind", "vid", "vec").mapInPandas(route, "kind string, leaf int, home boolean, vid bigint, vec binary")
-    met = routed.groupBy("kind", "leaf").applyInPandas(leaf, "kind string, vid bigint, ids array<bigint>, sims array<double>")
-    listed = F.transform(F.arrays_zip("ids", "sims"), lambda x: F.struct((-x["sims"]).alias("neg"), x["ids"].alias("vid")))
-    # At most ``probes`` lists of k for each vector.
-    every = met.select("kind", "vid", F.filter(listed, lambda x: x["vid"] >= 0).alias("near")).groupBy("kind", "vid").agg(F.flatten(F.collect_list("near")).alias("near"))
-    return every.withColumn("near", F.slice(F.sort_array(F.array_distinct("near")), 1, k))
+        rows = points.where(F.col("kind") == r["kind"]).withColumn("h", F.xxhash64("vid")).orderBy("h").limit(sample).select("kind", "vid", "vec").toArrow()
+        _, vid, raw, _ = next(_matrices(rows.combine_chunks().to_batches()[0]))
+        models[r["kind"]] = Forest.fit(_unit(raw), r["n"], seed, leaf=leaf)
+        asked[r["kind"]] = vid[:CHECKED], _unit(raw[:CHECKED])
+    for kind, of, raw in _true_neighbours(points, {x: a for x, a in asked.items() if len(models[x].normals)}, k):
+        f, q = models[kind], asked[kind][1][of]
+        there, back = f.queue(_unit(raw), f.leaves), f.queue(q, f.leaves)
+        rank = lambda queue, homes: (queue[:, :, None] == homes[:, None, : f.trees]).any(axis=2).argmax(axis=1)
+        needed = np.sort(np.minimum(rank(back, there), rank(there, back)))
+        f.probes = max(f.trees, int(needed[int(np.ceil(RECALL * len(needed))) - 1]) + 1)
+    return models
+
+
+def _true_neighbours(points: DataFrame, asked: dict[str, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Per kind the k true neighbours of its asked vectors (a bounded number): their places in ``asked``, the neighbours' vectors."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, vid, raw, _ in _matrices(batch):
+                if kind not in asked:
+                    continue
+                sims = asked[kind][1] @ _unit(raw).T
+                sims[asked[kind][0][:, None] == vid[None, :]] = -3.0
+                m = min(k, len(vid))
+                top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+                of = np.repeat(np.arange(len(top)), m)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(of)), pa.array(of), pa.array(np.take_along_axis(sims, top, 1).ravel().astype(float)), pa.array([raw[j].tobytes() for j in top.ravel()], pa.binary())], ["kind", "of", "sim", "vec"]
+                )
+
+    if asked:
+        met = points.select("kind", "vid", "vec").mapInArrow(scan, "kind string, of bigint, sim double, vec binary")
+        place = F.row_number().over(W.partitionBy("kind", "of").orderBy(F.desc("sim"), "vec"))
+        got = met.withColumn("place", place).where(F.col("place") <= k).where("sim > -2").select("kind", "of", "vec").toPandas()  # k rows for each vector asked
+        for kind, part in got.groupby("kind"):
+            yield kind, part["of"].to_numpy(), np.stack([np.frombuffer(b, dtype=np.float32) for b in part["vec"]])
+
+
+_ROUTED = "kind string, leaf int, guest boolean, vids binary, vecs binary, bounds binary"
+_MET = "bucket bigint, ids binary, near binary, sims binary"
+
+
+def _route(models: dict[str, Forest], guests: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, vid, raw, bound in _matrices(batch):
+                f, rows = models[kind], []
+                for s in range(0, len(vid), 2048):
+                    u = _unit(raw[s : s + 2048])
+                    rows.append(f.queue(u, f.probes if guests else f.trees))
+                to = np.concatenate(rows)
+                of = np.repeat(np.arange(len(vid)), to.shape[1])
+                guest = np.tile(np.arange(to.shape[1]) >= f.trees, len(vid))
+                flat = to.ravel()
+                order = np.lexsort((guest, flat))
+                flat, of, guest = flat[order], of[order], guest[order]
+                at = np.concatenate([[0], np.nonzero((flat[1:] != flat[:-1]) | (guest[1:] != guest[:-1]))[0] + 1, [len(flat)]])
+                parts = [of[a:b] for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([kind] * len(parts)), pa.array(flat[at[:-1]].astype(np.int32)), pa.array(guest[at[:-1]]), pa.array([vid[p].tobytes() for p in parts], pa.binary()),
+                        pa.array([_packed(raw[p]) for p in parts], pa.binary()), pa.array([bound[p].tobytes() for p in parts], pa.binary()),
+                    ], ["kind", "leaf", "guest", "vids", "vecs", "bounds"],
+                )
+
+    return run
+
+
+def _met(of: np.ndarray, near: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
+    """Results packed by the bucket of ``of``."""
+    order = np.argsort(of >> _BUCKET, kind="stable")
+    of, near, sims = of[order], near[order], sims[order]
+    bucket = of >> _BUCKET
+    at = [0, *(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1), len(of)] if len(of) else [0]
+    cut_up = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]] if len(of) else bucket), cut_up(of), cut_up(near), cut_up(sims)], ["bucket", "ids", "near", "sims"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):  # packed rows: each holds many vectors
+            yield {n: batch.column(c)[i].as_py() for c, n in enumerate(batch.schema.names)}
+
+
+def _search(k: int, guests: bool) -> Callable:
+    """Over rows sorted by kind, leaf and guest: the homes of a leaf are held, its visitors stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, parts, home = None, [], None
+
+        def opened(parts):
+            return [np.concatenate(x) for x in zip(*parts)]
+
+        for r in _rows(batches):
+            if (r["kind"], r["leaf"]) != leaf:
+                if parts and not guests:
+                    i, v, u, _ = opened(parts)
+                    yield _met(*nearest(i, v, u, k))
+                leaf, parts, home = (r["kind"], r["leaf"]), [], None
+            vid = np.frombuffer(r["vids"], dtype=np.int64)
+            raw = _unpacked(r["vecs"], len(vid))
+            part = vid, raw, _unit(raw), np.frombuffer(r["bounds"], dtype=np.float64)
+            if not r["guest"]:
+                parts.append(part)
+            elif parts:
+                home = opened(parts) if home is None else home
+                yield _met(*visit(*home, *part, k))
+        if parts and not guests:
+            i, v, u, _ = opened(parts)
+            yield _met(*nearest(i, v, u, k))
+
+    return run
+
+
+def _merge(k: int, packed: bool) -> Callable:
+    """Over rows sorted by bucket: the k best of every vector, packed again or one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
+
+        def done():
+            of, near, sims = best(*[np.concatenate(x) for x in zip(*parts)], k)
+            if packed:
+                return _met(of, near, sims)
+            at = np.concatenate([[0], np.nonzero(of[1:] != of[:-1])[0] + 1, [len(of)]]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (near, sims)]
+            return pa.RecordBatch.from_arrays([pa.array(of[at[:-1]]), *lists], ["vid", "near", "sims"])
+
+        for r in _rows(batches):
+            if r["bucket"] != bucket and parts:
+                yield done()
+                parts = []
+            bucket = r["bucket"]
+            parts.append([np.frombuffer(r["ids"], np.int64), np.frombuffer(r["near"], np.int64), np.frombuffer(r["sims"], np.float64)])
+        if parts:
+            yield done()
+
+    return run
+
+
+def _merged(met: DataFrame, k: int, packed: bool) -> DataFrame:
+    rows = met.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(_merge(k, packed), _MET if packed else "vid bigint, near array<bigint>, sims array<double>")
+
+
+def knn(points: DataFrame, k: int = K, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+    """``vid, near: array<struct<neg: double, vid: bigint>>``: up to k neighbours, nearest first (``neg`` is minus the cosine)."""
+    models = forests(points, sample, k=k, leaf=leaf)
+
+    def round_of(rows: DataFrame, guests: bool) -> DataFrame:
+        routed = rows.mapInArrow(_route(models, guests), _ROUTED).repartition("kind", "leaf").sortWithinPartitions("kind", "leaf", "guest")
+        return routed.mapInArrow(_search(k, guests), _MET)
+
+    at_home = cut(_merged(round_of(points.select("kind", "vid", "vec"), False), k, True))
+    every = at_home
+    if any(f.probes > f.trees for f in models.values()):
+        lists = _merged(at_home, k, False).select("vid", F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(-2.0).alias("bound"))
+        bounded = merge_join(points.select("kind", "vid", "vec"), lists, "vid", "left").select("kind", "vid", "vec", F.coalesce("bound", F.lit(-2.0)).alias("bound"))
+        every = at_home.unionByName(round_of(bounded, True))
+    return _merged(every, k, False).select("vid", F.zip_with("sims", "near", lambda s, v: F.struct((-s).alias("neg"), v.alias("vid"))).alias("near"))
 
 
 def asset_neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
@@ -239,16 +382,14 @@ def asset_neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
     place = F.row_number().over(W.partitionBy("kind", "copy").orderBy("asset_id"))
     # The k + 1 smallest assets of each point: more can't be among anyone's k nearest.
     few = assets.withColumn("p", place).where(F.col("p") <= k + 1).groupBy("kind", "copy").agg(F.sort_array(F.collect_list("asset_id")).alias("members"))
-    at = cut(points.select("kind", "copy", "vid").join(few, ["kind", "copy"]))
-    lists = near.select("kind", "vid", F.explode("near").alias("x")).select("kind", F.col("vid").alias("of"), F.col("x.vid").alias("vid"), F.col("x.neg").alias("neg"))
-    other = lists.join(at.select("kind", "vid", "members"), ["kind", "vid"]).select("kind", F.col("of").alias("vid"), F.transform("members", lambda a: F.struct(F.col("neg").alias("neg"), a.alias("id"))).alias("l"))
-    own = at.select("kind", "vid", F.transform("members", lambda a: F.struct(F.lit(-1.0).alias("neg"), a.alias("id"))).alias("l"))
+    at = cut(merge_join(points.select("kind", "copy", "vid"), few, ["kind", "copy"]))
+    lists = near.select(F.col("vid").alias("of"), F.explode("near").alias("x")).select("of", F.col("x.vid").alias("vid"), F.col("x.neg").alias("neg"))
+    other = merge_join(lists, at.select("vid", "members"), "vid").select(F.col("of").alias("vid"), F.transform("members", lambda a: F.struct(F.col("neg").alias("neg"), a.alias("id"))).alias("l"))
+    own = at.select("vid", F.transform("members", lambda a: F.struct(F.lit(-1.0).alias("neg"), a.alias("id"))).alias("l"))
     # At most k + 1 lists of k + 1 for each point.
-    pool = other.unionByName(own).groupBy("kind", "vid").agg(F.sort_array(F.flatten(F.collect_list("l"))).alias("pool"))
-    by_copy = at.select("kind", "copy", "vid").join(pool, ["kind", "vid"]).select("kind", "copy", F.slice("pool", 1, 2 * k + 2).alias("pool"))
-    from ..operators.components import salted_join
-
-    mine = salted_join(assets, by_copy, ["kind", "copy"], "asset_id")
+    pool = other.unionByName(own).groupBy("vid").agg(F.sort_array(F.flatten(F.collect_list("l"))).alias("pool"))
+    by_copy = merge_join(at.select("kind", "copy", "vid"), pool, "vid").select("kind", "copy", F.slice("pool", 1, 2 * k + 2).alias("pool"))
+    mine = salted_join(assets, by_copy, ["kind", "copy"], "asset_id", salts=4)
     got = mine.select("kind", "asset_id", F.posexplode(F.slice(F.filter("pool", lambda x: x["id"] != F.col("asset_id")), 1, k)).alias("place", "x"))
     return got.select("kind", "asset_id", F.col("x.id").alias("other"), (-F.col("x.neg")).alias("cosine"), (F.col("place") + 1).alias("place"))
 
