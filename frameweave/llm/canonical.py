@@ -1,29 +1,38 @@
 """Free-entered names to a canonical list, by a prefix-filter set-similarity join.
 
-A name becomes a set of tokens: character trigrams of its words, and whole tokens
-for what must not be blurred (numbers, focal ranges, apertures, marks, feature
-codes).  Tokens are ordered by global rarity; only the rarest tokens of either
-side, as many as the threshold requires, are joined; length and position filters
-drop pairs that can't reach it; Jaccard similarity is then computed exactly.  The
-pairs that pass are checked exactly on what tells two products of one maker apart
-(numbers, mark, suffix, features), their words may differ by typing errors only,
-and the best is kept; a value whose best is not unique means none.
+A name becomes a set of tokens: the letters of its words with their count (typing
+errors keep most of them), and whole tokens for what must not be blurred (numbers,
+focal ranges, apertures, marks, feature codes).  Spellings with the same parts are one
+name.  Tokens are ordered by global rarity; only the rarest tokens of either side, as
+many as the threshold requires, are joined; length and position filters drop pairs
+that can't reach it; Jaccard similarity is then computed exactly.  The pairs that pass
+are checked exactly on what tells two products of one maker apart (numbers, mark,
+features), their words may differ by typing errors only, and the most similar entry is
+kept; a value whose best is not unique means none.
+
+No words are given: feature codes and the words for a product's generation are read
+off the list, and what people and tools add to names (company forms, remarks) are the
+words written beside many different makers.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..operators.components import salted_join
-from ..session import cut
+from ..session import cut, merge_join
 
-THRESHOLD = 0.3
+THRESHOLD = 0.5
+BESIDE = 5  # a word beside every fifth maker, and at least three, says nothing about the product
+SMALL_LIST = 50_000  # rows of the list's prefixes up to which they go to every task
 # Letters of other alphabets that look like Latin ones.
 LOOKALIKES = str.maketrans({
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "о": "o",
@@ -31,14 +40,8 @@ LOOKALIKES = str.maketrans({
     "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ø": "o", "ł": "l", "đ": "d", "ı": "i",
 })
 DASHES = str.maketrans({c: "-" for c in "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"})
-# Words that makers and tools add to a maker's name.
-COMPANY = frozenset("corporation corp co ltd inc ag gmbh company limited llc kk sa imaging optical camera cameras digital".split())
-# Remarks people add behind a product's name.
-REMARKS = frozenset("backup body lens hood on spare main mine own loan kit set used new old second".split())
-# Spelled marks of a model generation.
+# Roman numbers of a product's generation.
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5}
-# Feature codes of lenses.
-FEATURES = frozenset("af apo dl ed macro osx vc wr".split())
 
 
 def clean(text: str) -> str:
@@ -72,48 +75,67 @@ def allowed(word: str) -> int:
     return 0 if len(word) < 3 else 1 if len(word) < 6 else 2
 
 
-_MARK = re.compile(r"(?:\b|(?<=[\d_]))(?:(?:m[a-z]{0,2}rk|mk|mrak|makr|ark)[ ._-]*(\d|i{1,3}|iv|v)|m(\d))(?![a-z0-9])")
+_GENERATION = re.compile(r"(?:\b|(?<=[\d_]))([a-z]+?)[ ._-]*(\d|i{1,3}|iv|v)(?![a-z0-9])")
+_LISTED_GENERATION = re.compile(r"([a-z]{2,}) (?:i{1,3}|iv|v)$")
 _ROMAN_END = re.compile(r"(?<=[\s_\-\d])(i{2,3}|iv)\s*$")
 _FOCAL = re.compile(r"(?<![\d.])(\d{1,4}(?:\.\d+)?(?:-\d{1,4}(?:\.\d+)?)?)\s*mm\b")
 _APERTURE = re.compile(r"(?:\bf ?/? ?|\b1 ?: ?)(\d{1,2}(?:[.,]\d+)?(?:-\d{1,2}(?:[.,]\d+)?)?)")
 _NUMBERS = re.compile(r"(?<![\d.,])(\d{1,4}(?:-\d{1,4})?)(?:mm)?\s*[/ ]\s*(\d{1,2}(?:[.,]\d+)?(?:-\d{1,2}(?:[.,]\d+)?)?)(?![\d])")
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words that names are read by: feature codes, words for a generation, words that mean no product."""
+
+    features: frozenset[str] = field(default_factory=frozenset)
+    generation: frozenset[str] = field(default_factory=frozenset)
+    fillers: frozenset[str] = field(default_factory=frozenset)
+
+    def is_generation(self, word: str) -> bool:
+        """Whether a word is one for a generation, with a typing error or shortened (its first letter and some others in order)."""
+        for g in self.generation:
+            rest = iter(g)
+            if word[0] == g[0] and all(c in rest for c in word) or distance(word, g, 1) <= 1:
+                return True
+        return False
+
+    def without_fillers(self, words: list[str]) -> list[str]:
+        return [w for w in words if w not in self.fillers]
+
+
 class Name:
-    """A name in parts: words, exact tokens (numbers, marks, features)."""
+    """A name in parts: words, exact tokens (numbers, marks), feature codes."""
 
     __slots__ = ("words", "exact", "features")
 
     def __init__(self, words: list[str], exact: list[str], features: list[str]) -> None:
         self.words, self.exact, self.features = words, exact, features
 
-    def tokens(self) -> list[str]:
-        grams = {p[i : i + 2] for w in self.words for p in (f"^{w}$",) for i in range(len(p) - 1)}
-        return sorted(grams | set(self.exact) | {f"+{f}" for f in self.features})
-
+    def key(self) -> str:
+        return json.dumps([self.words, sorted(self.exact), self.features])
 
-def _without_remarks(words: list[str]) -> list[str]:
-    """The words without remarks at their end."""
-    n = len(words)
-    while n > 1 and words[n - 1] in REMARKS:
-        n -= 1
-    return words[:n] if n > 1 or not words or words[0] not in REMARKS else []
+    def tokens(self) -> list[str]:
+        count: dict[str, int] = {}
+        out = set(self.exact) | {f"+{f}" for f in self.features}
+        for c in "".join(self.words):
+            count[c] = count.get(c, 0) + 1
+            out.add(f"{c}{count[c]}")
+        return sorted(out)
 
 
-def parse(kind: str, text: str) -> Name:
+def parse(kind: str, text: str, voc: Vocabulary) -> Name:
     """The parts of a written make, model or lens."""
     t = clean(text)
     if kind == "make":
-        words = re.findall(r"[a-z]+", t)
-        kept = [w for w in words if w not in COMPANY]
+        kept = voc.without_fillers(re.findall(r"[a-z]+", t))
         return Name(kept, [f"#{n}" for n in re.findall(r"\d+", t)] if kept else [], [])
     if kind == "model":
         t = re.sub(r"#\s*\d+\b|\*", " ", t).strip()
         mark = None
-        m = _MARK.search(t)
-        if m and m.start() > 0:
-            mark = m[1] or m[2]
-            t = t[: m.start()] + " " + t[m.end() :]
+        for m in _GENERATION.finditer(t):
+            if m.start() > 0 and voc.is_generation(m[1]):
+                mark, t = m[2], t[: m.start()] + " " + t[m.end() :]
+                break
         t = re.sub(r"\([^)]*\)?|[()]", " ", t).strip()
         t = re.sub(r"\s+-\s+[a-z ]+$", " ", t).strip()
         if mark is None and (m := _ROMAN_END.search(t)):
@@ -122,7 +144,7 @@ def parse(kind: str, text: str) -> Name:
         numbers = re.findall(r"(\d+)(s(?![a-z]))?", t)
         exact += [f"#{n}{s}" for n, s in numbers]
         words = re.findall(r"[a-z]+", re.sub(r"(\d+)s(?![a-z])", r"\1 ", t))
-        return Name(_without_remarks(words), exact, [])
+        return Name(voc.without_fillers(words), exact, [])
     t = re.sub(r"\([^)]*\)?|[()*]", " ", t)
     t = re.sub(r"(?<=\d),(?=\d)", ".", t)
     exact, focal, aperture = [], None, None
@@ -142,8 +164,8 @@ def parse(kind: str, text: str) -> Name:
     if aperture:
         exact.append(f"a{tidy(aperture)}")
     exact += [f"#{n}" for n in re.findall(r"\d+(?:\.\d+)?", t)]
-    words = _without_remarks([w for w in re.findall(r"[a-z]+", t) if w not in ("mm", "f")])
-    return Name([w for w in words if w not in FEATURES], exact, sorted({w for w in words if w in FEATURES}))
+    words = voc.without_fillers([w for w in re.findall(r"[a-z]+", t) if w not in ("mm", "f")])
+    return Name([w for w in words if w not in voc.features], exact, sorted({w for w in words if w in voc.features}))
 
 
 def _same_words(written: list[str], meant: list[str]) -> int | None:
@@ -160,15 +182,21 @@ def _same_words(written: list[str], meant: list[str]) -> int | None:
     return total
 
 
-def check(kind: str, value: Name, maker: Name, own: Name, row_maker: str | None, ref_maker: str) -> tuple[int, int] | None:
-    """``(tier, edits)`` if the value can mean the entry, lower being better, else None.
+def _is_maker(written: list[str], maker: list[str]) -> int | None:
+    """Typing errors in a maker's name, None if it is another; an exact name may have more words behind it."""
+    edits = _same_words(written, maker)
+    return 0 if edits is None and maker and written[: len(maker)] == maker else edits
+
+
+def check(kind: str, value: Name, maker: Name, own: Name) -> tuple[int, int] | None:
+    """``(tier, edits)`` if the value can mean the entry, else None.
 
-    ``own`` is the entry's name without its maker.  Tiers: maker written, bare
-    with the row's maker, bare; for lenses all features written come before some
-    left out, and a feature the entry hasn't makes it another lens.
+    ``own`` is the entry's name without its maker.  Tiers: 0 its maker is written,
+    1 it isn't; 3 more for a lens of which features are left out.  A feature the
+    entry hasn't makes it another lens.
     """
     if kind == "make":
-        edits = _same_words(value.words, maker.words) if not value.exact else None
+        edits = _is_maker(value.words, maker.words) if not value.exact else None
         return None if edits is None else (0, edits)
     if sorted(value.exact) != sorted(own.exact):
         return None
@@ -178,16 +206,14 @@ def check(kind: str, value: Name, maker: Name, own: Name, row_maker: str | None,
             return None
         tier = 0 if len(value.features) == len(own.features) else 3
     n = len(own.words)
-    for turned in ((value.words, False), (value.words[n:] + value.words[:n], True)) if n and kind == "model" else ((value.words, False),):
-        words = turned[0]
+    for words in (value.words, value.words[n:] + value.words[:n]) if n and kind == "model" else (value.words,):
         head, tail = (words[:-n], words[-n:]) if n else (words, [])
         edits = _same_words(tail, own.words) if n else 0
         if edits is None:
             continue
-        head = [w for w in head if w not in COMPANY]
         if not head:
-            return tier + (1 if row_maker == ref_maker else 2), edits
-        more = _same_words(head, maker.words)
+            return tier + 1, edits
+        more = _is_maker(head, maker.words)
         if more is not None:
             return tier, edits + more
     return None
@@ -202,18 +228,41 @@ def _entries(refs: DataFrame) -> DataFrame:
     return canonical.unionByName(market).distinct()
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _tokens(kind: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([parse(k, t).tokens() for k, t in zip(kind, text)], dtype=object)
+def _listed_words(refs: DataFrame) -> tuple[Vocabulary, set[str], dict[str, str]]:
+    """The list's own vocabulary, all of its words, and the makers by the first word of their names."""
+    rows = _entries(refs).select("kind", "maker", "own").collect()  # the list
+    maker_words = {w for r in rows for w in re.findall(r"[a-z]+", clean(r["maker"] or ""))}
+    words = {k: [w for r in rows if r["kind"] == k for w in re.findall(r"[a-z]+", clean(r["own"]))] for k in ("model", "lens")}
+    generation = {m[1] for r in rows if r["kind"] == "model" and (m := _LISTED_GENERATION.search(clean(r["own"])))}
+    features = {w for w in words["lens"] if w not in maker_words and w not in ("mm", "f")}
+    makers = {m[0]: r["maker"] for r in rows if r["maker"] and (m := re.findall(r"[a-z]+", clean(r["maker"])))}
+    return Vocabulary(frozenset(features), frozenset(generation)), maker_words | set(words["model"]) | set(words["lens"]), makers
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _tokens_of_entry(kind: pd.Series, maker: pd.Series, own: pd.Series, with_maker: pd.Series) -> pd.Series:
-    out = []
-    for k, m, o, w in zip(kind, maker, own, with_maker):
-        n, p = parse("make", m), parse(k, o) if o else Name([], [], [])
-        out.append(Name([*(n.words if w else []), *p.words], p.exact, p.features).tokens())
-    return pd.Series(out, dtype=object)
+def vocabulary(values: DataFrame, refs: DataFrame) -> Vocabulary:
+    """The list's vocabulary and the words that the written ``values`` (``kind, value``, distinct) have beside many makers."""
+    voc, listed, makers = _listed_words(refs)
+
+    @F.pandas_udf("array<struct<word: string, maker: string>>")
+    def beside(kind: pd.Series, value: pd.Series) -> pd.Series:
+        out = []
+        for v in value:
+            words = re.findall(r"[a-z]+", clean(v))
+            seen = [makers[w] for w in words if w in makers]
+            out.append([{"word": w, "maker": seen[0]} for w in sorted(set(words)) if w not in listed] if seen else [])
+        return pd.Series(out, dtype=object)
+
+    least = max(3, -(-len(set(makers.values())) // BESIDE))
+    met = values.select(F.explode(beside.asNondeterministic()("kind", "value")).alias("b")).groupBy("b.word").agg(F.countDistinct("b.maker").alias("n"))
+    # Only words common to a fifth of all makers come to the driver.
+    common = [r["word"] for r in met.where(F.col("n") >= least).select("word").collect()]
+    typed = lambda w: any(distance(w, x, allowed(x)) <= allowed(x) for x in listed) or voc.is_generation(w)
+    return Vocabulary(voc.features, voc.generation, frozenset(w for w in common if not typed(w)))
+
+
+def _bounded(df: DataFrame, most: int = SMALL_LIST) -> DataFrame:
+    """The hint by which to join a table made from the list: to every task if its rows are counted and few, else by sorting."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -242,47 +291,60 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("ln") + F.col("rn")) - 1e-9)
     # The first common token: everything before it is lost, at most the rest is common.
     first = F.least(F.col("ln") - F.col("skip") - F.col("i"), F.col("rn") - F.col("j"))
-    met = lp.join(rp, ["kind", "rank"]).where(fits).groupBy("kind", "l", "r", "ln", "rn").agg(F.max(first).alias("most")).where(F.col("most") >= need)
+    # The left side's hot tokens stay where they are as long as the list is short.
+    met = lp.join(_bounded(rp), ["kind", "rank"]).where(fits).groupBy("kind", "l", "r", "ln", "rn").agg(F.max(first).alias("most")).where(F.col("most") >= need)
     common = F.size(F.array_intersect("ranks", "r_ranks"))
-    both = met.join(lr.select("kind", "l", "ranks"), ["kind", "l"]).join(rr.select("kind", "r", F.col("ranks").alias("r_ranks")), ["kind", "r"])
+    both = merge_join(met, lr.select("kind", "l", "ranks"), ["kind", "l"]).join(_bounded(rr.select("kind", "r", F.col("ranks").alias("r_ranks"))), ["kind", "r"])
     exact = both.withColumn("jaccard", common / (F.col("ln") + F.col("rn") - common))
     return exact.where(F.col("jaccard") >= threshold).select("kind", "l", "r", "jaccard")
 
 
-def match_values(values: DataFrame, refs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``kind, value, row_maker, ref_id``: the entry each distinct value means, -1 if none or not exactly one.
+def match_names(names: DataFrame, refs: DataFrame, voc: Vocabulary, threshold: float = THRESHOLD) -> DataFrame:
+    """``kind, name, ref_id, maker, tier, edits, jaccard`` of all entries that a name (``kind, name, tokens``, distinct) can mean."""
 
-    ``values``: ``kind, value, row_maker`` (distinct; the maker, as in the list,
-    that the row's make means, null if none); ``refs`` as ``gear_ref``.
-    """
-    keyed = cut(values.select("kind", "value", "row_maker").distinct().withColumn("l", F.sha2(F.concat_ws("|", "kind", F.coalesce("row_maker", F.lit("?")), "value"), 256)))
-    entries = cut(_entries(refs).withColumn("form", F.explode(F.array(F.lit(True), F.lit(False)))).where("form or kind != 'make'"))
-    named = entries.withColumn("r", F.concat_ws("|", F.col("ref_id").cast("string"), "own", F.col("form").cast("string")))
-    # Not deterministic: else filters on the results would be pushed below and run the functions again.
-    left = cut(keyed.withColumn("tokens", _tokens.asNondeterministic()("kind", "value")).where(F.size("tokens") > 0).select("kind", "l", "tokens"))
-    right = cut(named.withColumn("tokens", _tokens_of_entry.asNondeterministic()("kind", "maker", "own", "form")).where(F.size("tokens") > 0).select("kind", "r", "tokens"))
-    pairs = similar_pairs(left, right, threshold)
+    @F.pandas_udf("struct<name: string, tokens: array<string>>")
+    def entry(kind: pd.Series, maker: pd.Series, own: pd.Series, form: pd.Series) -> pd.DataFrame:
+        out = []
+        for k, m, o, f in zip(kind, maker, own, form):
+            n, q = parse("make", m, voc), parse(k, o, voc) if o else Name([], [], [])
+            out.append((q.key(), Name([*(n.words if f else []), *q.words], q.exact, q.features).tokens()))
+        return pd.DataFrame(out, columns=["name", "tokens"])
 
     @F.pandas_udf("struct<tier: int, edits: int>")
-    def verify(kind: pd.Series, value: pd.Series, maker: pd.Series, own: pd.Series, row_maker: pd.Series) -> pd.DataFrame:
-        memo: dict[tuple[str, str], Name] = {}
+    def verify(kind: pd.Series, name: pd.Series, maker: pd.Series, own: pd.Series) -> pd.DataFrame:
+        opened: dict[str, Name] = {}
 
-        def part(k: str, t: str) -> Name:
-            got = memo.get((k, t))
-            if got is None:
-                got = memo[k, t] = parse(k, t) if t else Name([], [], [])
-            return got
+        def part(x: str) -> Name:
+            if x not in opened:
+                opened[x] = Name(*json.loads(x))
+            return opened[x]
 
-        got = [check(k, part(k, v), part("make", m), part(k, o), r, m) or (None, None) for k, v, m, o, r in zip(kind, value, maker, own, row_maker)]
+        got = [check(k, part(n), parse("make", m, voc), part(o)) or (None, None) for k, n, m, o in zip(kind, name, maker, own)]
         return pd.DataFrame(got, columns=["tier", "edits"]).astype("Int32")
 
-    rows = pairs.join(keyed.select("l", "value", "row_maker"), "l").join(named.select("r", "ref_id", "maker", "own"), "r")
-    passed = rows.withColumn("v", verify.asNondeterministic()("kind", "value", "maker", "own", "row_maker")).where("v.tier is not null")
-    one = cut(passed.groupBy("l", "ref_id").agg(F.min(F.struct("v.tier", "v.edits", (-F.round("jaccard", 9)).alias("far"))).alias("how")))
-    best = one.groupBy("l").agg(F.min("how").alias("how"))
-    kept = one.join(best.withColumnRenamed("how", "top"), "l").where("how.tier = top.tier and how.edits = top.edits").groupBy("l").agg(F.min("ref_id").alias("ref_id"), F.count(F.lit(1)).alias("n"))
-    found = F.when(F.col("n") == 1, F.col("ref_id")).otherwise(F.lit(-1))
-    return keyed.join(kept, "l", "left").select("kind", "value", "row_maker", F.coalesce(found, F.lit(-1)).cast("bigint").alias("ref_id"))
+    forms = F.explode(F.array(F.lit(True), F.lit(False))).alias("form")
+    # Not deterministic: else filters on the results would be pushed below and run the functions again.
+    entries = _entries(refs).select("*", forms).where("form or kind != 'make'").withColumn("e", entry.asNondeterministic()("kind", "maker", "own", "form"))
+    entries = cut(entries.select("kind", "ref_id", "maker", "form", F.col("e.name").alias("own"), F.col("e.tokens").alias("tokens")).where(F.size("tokens") > 0).withColumn("r", F.monotonically_increasing_id()))
+    left = cut(names.where(F.size("tokens") > 0).withColumn("l", F.monotonically_increasing_id()))
+    pairs = similar_pairs(left.select("kind", "l", "tokens"), entries.select("kind", "r", "tokens"), threshold)
+    rows = merge_join(pairs, left.select("l", "name"), "l").join(_bounded(entries.select("r", "ref_id", "maker", "own")), "r")
+    return rows.withColumn("v", verify.asNondeterministic()("kind", "name", "maker", "own")).where("v.tier is not null").select("kind", "name", "ref_id", "maker", "v.tier", "v.edits", F.round("jaccard", 9).alias("jaccard"))
+
+
+def best_of(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, ref_id``: the best entry of each key, -1 where it isn't one alone.
+
+    ``candidates``: ``keys, ref_id, tier, edits, jaccard``.  The lower tier comes
+    first, then the more similar entry, then fewer typing errors; of lenses with
+    features left out (tiers from 3) none is better than another.
+    """
+    left_out = F.col("tier") >= 3
+    how = F.struct("tier", F.when(left_out, 0.0).otherwise(-F.col("jaccard")).alias("far"), F.when(left_out, 0).otherwise(F.col("edits")).alias("edits")).alias("how")
+    one = candidates.groupBy(*keys, "ref_id").agg(F.min(how).alias("how"))
+    # Entries are few for a key: each has been verified.
+    ranked = one.withColumn("place", F.rank().over(W.partitionBy(*keys).orderBy("how"))).where(F.col("place") == 1)
+    return ranked.groupBy(*keys).agg(F.min("ref_id").alias("ref_id"), F.count(F.lit(1)).alias("n")).select(*keys, F.when(F.col("n") == 1, F.col("ref_id")).otherwise(F.lit(-1)).cast("bigint").alias("ref_id"))
 
 
 FIELDS = {"camera_make": "make", "camera_model": "model", "lens_model": "lens"}
@@ -296,20 +358,37 @@ def match_metadata(metadata: DataFrame, refs: DataFrame, threshold: float = THRE
     """
     once = metadata.where("metadata_id is not null").groupBy("metadata_id").agg(F.min(F.struct(*FIELDS)).alias("m")).select("metadata_id", "m.*")
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(k).alias("kind"), F.col(f).alias("value")) for f, k in FIELDS.items()])).alias("f")
-    canonical = refs.select(F.col("ref_kind").alias("kind"), F.col("canonical_name").alias("value")).where("value is not null").distinct()
-    written = once.select("metadata_id", F.col("camera_make").alias("make"), fields).select("metadata_id", "make", "f.*").where(F.col("value").rlike(r"(?U)[^\s]"))
-    # The reference list doesn't grow; Spark broadcasts it by its size or shuffles it.
-    rows = written.join(canonical, ["kind", "value"], "left_anti")
+    written = cut(once.select("metadata_id", F.col("camera_make").alias("make"), fields).select("metadata_id", "make", "f.*").where(F.col("value").rlike(r"(?U)[^\s]")))
+    known = refs.where("canonical_name is not null and ref_id is not null")
+    canonical = known.select(F.col("ref_kind").alias("kind"), F.col("canonical_name").alias("value")).distinct()
+    rows = written.join(_bounded(canonical), ["kind", "value"], "left_anti")
     combos = cut(rows.groupBy("kind", "value", "make").agg(F.count(F.lit(1)).alias("n")))
-    makes = combos.where("make is not null").select(F.lit("make").alias("kind"), F.col("make").alias("value"), F.lit(None).cast("string").alias("row_maker")).distinct()
-    names = refs.where("ref_kind = 'make'").select("ref_id", F.col("canonical_name").alias("row_maker"))
-    meant = cut(match_values(makes, refs, threshold).select(F.col("value").alias("make"), "ref_id"))
-    maker_of = meant.join(names, "ref_id").select("make", "row_maker")
-    placed = cut(combos.where("kind != 'make'").join(maker_of, "make", "left").select("kind", "value", "make", "row_maker"))
-    others = match_values(placed.select("kind", "value", "row_maker"), refs, threshold)
-    same = F.col("p.row_maker").eqNullSafe(F.col("o.row_maker"))
-    found = placed.alias("p").join(others.alias("o"), (F.col("p.kind") == F.col("o.kind")) & (F.col("p.value") == F.col("o.value")) & same).select("p.kind", "p.value", F.coalesce("p.make", F.lit("\x00")).alias("make"), "o.ref_id")
-    of_make = combos.where("kind = 'make'").join(meant, "make").select("kind", "value", F.coalesce("make", F.lit("\x00")).alias("make"), "ref_id")
-    lookup = cut(found.unionByName(of_make))
-    keyed = rows.withColumn("make", F.coalesce("make", F.lit("\x00")))
-    return salted_join(keyed, lookup, ["kind", "value", "make"], "metadata_id").select("metadata_id", "field_name", "value", "ref_id")
+    makes = combos.where("make is not null").select(F.lit("make").alias("kind"), F.col("make").alias("value"))
+    values = cut(combos.select("kind", "value").unionByName(makes).distinct())
+    voc = vocabulary(values, refs)
+
+    @F.pandas_udf("struct<name: string, tokens: array<string>>")
+    def read(kind: pd.Series, value: pd.Series) -> pd.DataFrame:
+        got = [parse(k, v, voc) for k, v in zip(kind, value)]
+        return pd.DataFrame([(g.key(), g.tokens()) for g in got], columns=["name", "tokens"])
+
+    named = cut(values.withColumn("p", read.asNondeterministic()("kind", "value")).select("kind", "value", F.col("p.name").alias("name"), F.col("p.tokens").alias("tokens")))
+    # A name says all of its tokens.
+    names = named.groupBy("kind", "name").agg(F.first("tokens").alias("tokens"))
+    can = cut(match_names(names, refs, voc, threshold))
+    of_name = best_of(can.where("kind = 'make'"), ["name"])
+    makers = known.where("ref_kind = 'make'").select("ref_id", F.col("canonical_name").alias("row_maker"))
+    of_make = cut(merge_join(named.where("kind = 'make'").select("value", "name"), of_name, "name", "left").select("value", F.coalesce("ref_id", F.lit(-1)).cast("bigint").alias("ref_id")))
+    maker_of = of_make.join(_bounded(makers), "ref_id").select(F.col("value").alias("make"), "row_maker")
+    # A name, the maker that its rows name, and what they can mean together.
+    others = merge_join(combos.where("kind != 'make'"), maker_of, "make", "left").withColumn("row_maker", F.coalesce("row_maker", F.lit("")))
+    placed = cut(merge_join(others.select("kind", "value", "make", "row_maker"), named.select("kind", "value", "name"), ["kind", "value"]))
+    pairs = merge_join(placed.select("kind", "name", "row_maker").distinct(), can.where("kind != 'make'"), ["kind", "name"])
+    bare = F.when((F.col("tier") % 3 == 1) & (F.col("row_maker") != F.col("maker")), F.col("tier") + 1).otherwise(F.col("tier"))
+    meant = best_of(pairs.withColumn("tier", bare), ["kind", "name", "row_maker"])
+    blank = F.coalesce("make", F.lit("\x00")).alias("make")
+    found = merge_join(placed, meant, ["kind", "name", "row_maker"], "left").select("kind", "value", blank, "ref_id")
+    itself = merge_join(combos.where("kind = 'make'").select("kind", "value", blank), of_make, "value").select("kind", "value", "make", "ref_id")
+    lookup = cut(found.unionByName(itself).withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)).cast("bigint")))
+    keyed = rows.withColumn("make", blank)
+    return salted_join(keyed, lookup, ["kind", "value", "make"], "metadata_id", salts=4).select("metadata_id", "field_name", "value", "ref_id")
