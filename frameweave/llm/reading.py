@@ -205,12 +205,12 @@ def _fit_ranker(rows, cols, vals, n_words: int, form: np.ndarray, bands: np.ndar
 
 
 def isotonic(score: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: the block starts (scores) and the non-decreasing block means."""
+    """Pool adjacent violators and equal scores: the block starts (scores) and the increasing block means."""
     order = np.lexsort((level, score))
     blocks: list[list[float]] = []
     for s, y in zip(score[order], level[order]):
         blocks.append([s, y, 1.0])
-        while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
+        while len(blocks) > 1 and (blocks[-2][1] >= blocks[-1][1] or blocks[-2][0] == blocks[-1][0]):
             _, y2, n2 = blocks.pop()
             b = blocks[-1]
             b[1], b[2] = (b[1] * b[2] + y2 * n2) / (b[2] + n2), b[2] + n2
