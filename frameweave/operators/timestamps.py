@@ -1,10 +1,11 @@
 """Mixed timestamp formats to one UTC instant each.
 
-Every value becomes the array of its valid interpretations.  Where there is more
-than one, the record order of its source decides by Viterbi: the path through the
-interpretations with the least cost, a format switch and a backward jump in time
-each costing a penalty.  A record with one interpretation splits the path exactly,
-so only runs of ambiguous records are searched.  Sources are cut into range-sorted
+Every value becomes the array of its valid interpretations.  The record order of its
+source decides by Viterbi: the path through the interpretations of all records with
+the least cost, a format switch and a backward jump in time each costing a penalty.
+Every result is a step of that path.  A record with one interpretation splits the
+path exactly, so only runs of ambiguous records and the records beside them are
+searched; of the others the path has the only step there is.  Sources are cut into range-sorted
 chunks whatever their size; a chunk is summed up by the cost from each of its first
 to each of its last interpretations, these small matrices are combined per source
 (one row per chunk), and the chunks then fill in their path between fixed ends.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,15 +60,26 @@ def viterbi(run: list[list[tuple[int, str]]], first: int | None = None, last: in
     return total, path[::-1]
 
 
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bool, list[tuple], list[list[tuple[int, str]]]]]:
-    """The stretches of one source each, as they lie in a sorted chunk: source, whether first, keys, interpretations.
+def _counts(us: pd.Series) -> np.ndarray:
+    return np.fromiter(map(len, us), dtype=np.int64, count=len(us))
 
-    Only ambiguous records and their anchors are kept: ``None`` stands for the
-    dropped middle of anchors, which cannot change a choice.
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bool, list[tuple], list[list[tuple[int, str]]]] | None]:
+    """The stretches of one source each, as they lie in a sorted chunk: source, whether first, keys, interpretations; None after each batch.
+
+    Only ambiguous records and their anchors are kept: the middle of a stretch of
+    anchors cannot change a choice.
     """
     source, first, keys, runs = None, True, [], []
     for pdf in batches:
-        for s, k, i, us, fm in zip(pdf["source"].tolist(), pdf["kind"].tolist(), pdf["record_id"].tolist(), pdf["us"].tolist(), pdf["formats"].tolist()):
+        unclear = _counts(pdf["us"]) > 1
+        names = pdf["source"].to_numpy(object)
+        edge = np.ones(len(pdf), dtype=bool)
+        edge[1:-1] = (names[1:-1] != names[:-2]) | (names[1:-1] != names[2:])
+        near = unclear | edge
+        near[1:] |= unclear[:-1]
+        near[:-1] |= unclear[1:]
+        for s, k, i, us, fm in pdf.loc[near, ["source", "kind", "record_id", "us", "formats"]].itertuples(index=False, name=None):
             if s != source:
                 if runs:
                     yield source, first, keys, runs
@@ -78,6 +91,7 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bool, list[tu
                 continue
             keys.append((k, i))
             runs.append([(int(u), f) for u, f in zip(us, fm)])
+        yield None
     if runs:
         yield source, first, keys, runs
 
@@ -100,6 +114,8 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parts = _parts(watched())
     ends: list[tuple] = []
     for part in parts:
+        if part is None:
+            continue
         if not ends or len(ends) == 1:
             ends.append(part)
         else:
@@ -142,8 +158,8 @@ def choose_by_order(records: DataFrame, *, read: Callable[[DataFrame], DataFrame
     record_id``) and ``interpretations``, or what ``read`` makes them from; it
     then runs once, behind the range partitioning, whose sampling would otherwise
     repeat it.  Result: ``kind, record_id, utc_us, format, n_valid``;
-    ``n_valid`` 1 means the value itself determines the instant, more that the
-    order of its source chose.  Records without a valid interpretation get none.
+    ``n_valid`` 1 means the path has no other way, as the value itself determines
+    the instant, more that the order of its source chose.  Records without a valid interpretation get none.
     Null sources are one source; null sequence values come first.
     """
     spark = records.sparkSession
@@ -159,20 +175,27 @@ def choose_by_order(records: DataFrame, *, read: Callable[[DataFrame], DataFrame
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk: list[int] = []
+        steps: list[pd.DataFrame] = []
 
         def watched():
             for pdf in batches:
                 if len(pdf):
                     chunk[:] = [int(pdf["chunk"].iloc[0])]
+                    only = pdf[_counts(pdf["us"]) == 1].to_dict("list")
+                    rows = [(k, i, int(u[0]), f[0], 1) for k, i, u, f in zip(only["kind"], only["record_id"], only["us"], only["formats"])]
+                    steps.append(pd.DataFrame(rows, columns=["kind", "record_id", "utc_us", "format", "n_valid"]))
                 yield pdf
 
-        for source, _, keys, runs in _parts(watched()):
+        for part in _parts(watched()):
+            if part is None:
+                yield from steps
+                steps.clear()
+                continue
+            source, _, keys, runs = part
             first, last = pinned.get((source, chunk[0]), (None, None))
             _, path = viterbi(runs, first, last)
             rows = [(*k, r[p][0], r[p][1], len(r)) for k, r, p in zip(keys, runs, path) if len(r) > 1]
             if rows:
                 yield pd.DataFrame(rows, columns=["kind", "record_id", "utc_us", "format", "n_valid"])
 
-    chosen = placed.select("source", "kind", "record_id", "us", "formats", "chunk").mapInPandas(fill, "kind string, record_id bigint, utc_us bigint, format string, n_valid int")
-    single = placed.where(F.size("us") == 1).select("kind", "record_id", F.col("us")[0].alias("utc_us"), F.col("formats")[0].alias("format"), F.lit(1).alias("n_valid"))
-    return single.unionByName(chosen)
+    return placed.select("source", "kind", "record_id", "us", "formats", "chunk").mapInPandas(fill, "kind string, record_id bigint, utc_us bigint, format string, n_valid int")

@@ -54,19 +54,23 @@ def _capture_times(spark: SparkSession, sf: str) -> DataFrame:
     return once.select("kind", "record_id", F.concat_ws("/", "kind", "tag").alias("source"), "seq", "value", "zone")
 
 
-def _read(rows: DataFrame) -> DataFrame:
-    return with_interpretations(rows, "value", "zone")
+def _path(spark: SparkSession, sf: str, slash_orders: tuple[str, ...]) -> DataFrame:
+    return choose_by_order(_capture_times(spark, sf), read=lambda rows: with_interpretations(rows, "value", "zone", slash_orders))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The instants that value and zone determine: one valid interpretation, kept by the path search."""
-    chosen = choose_by_order(_capture_times(spark, sf), read=_read)
+    """The instants that value and zone determine: the steps of the path search that had no alternative.
+
+    Slash dates are month first; wall times that occur twice have two
+    interpretations and are left out.
+    """
+    chosen = _path(spark, sf, ("mdy",))
     return chosen.where("n_valid = 1").select(F.col("kind").alias("record_kind"), "record_id", "utc_us")
 
 
 def p3_resolved(spark: SparkSession, sf: str) -> DataFrame:
-    """Every record with a valid interpretation; where several are, the order of its source chose."""
-    return choose_by_order(_capture_times(spark, sf), read=_read).select(F.col("kind").alias("record_kind"), "record_id", "utc_us", "format", "n_valid")
+    """Every record with a valid interpretation, slash dates in either order; where several are, the order of its source chose."""
+    return _path(spark, sf, ("mdy", "dmy")).select(F.col("kind").alias("record_kind"), "record_id", "utc_us", "format", "n_valid")
 
 
 QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_resolved": p3_resolved}
