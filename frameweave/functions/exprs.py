@@ -18,14 +18,16 @@ from pyspark.sql.types import StringType
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10)))
 # Media class of file extensions.
 EXTENSIONS = {
-    "raw": ("arw", "cr2", "cr3", "dng", "nef", "orf", "raf", "rw2"),
-    "photo": ("bmp", "gif", "heic", "heif", "jpeg", "jpg", "png", "tif", "tiff", "webp"),
-    "video": ("avi", "m4v", "mkv", "mov", "mp4", "mxf"),
-    "audio": ("aac", "aif", "aiff", "flac", "m4a", "mp3", "wav"),
-    "sidecar": ("json", "lrf", "srt", "thm", "xml", "xmp"),
-    "document": ("csv", "pdf", "txt"),
-    "archive": ("7z", "tar", "zip"),
+    "raw": ("arw", "cr2", "cr3", "dng", "nef", "orf", "raf", "rw2", "pef", "srw", "3fr"),
+    "jpeg": ("jpg", "jpeg"),
+    "heif": ("heic", "heif"),
+    "png": ("png",),
+    "tiff": ("tif", "tiff"),
+    "video": ("mov", "mp4", "m4v", "avi", "mxf"),
+    "audio": ("wav", "mp3", "m4a", "aac", "aif", "aiff"),
+    "sidecar": ("xmp", "srt", "xml", "json"),
 }
+PHOTOS = ("raw", "jpeg", "heif", "png", "tiff")
 # Endings that editing tools add to a file's stem.
 EDIT_SUFFIXES = ("edited", "edit", "retouch", "final")
 
@@ -43,12 +45,16 @@ def normalize_space(s: str | Column) -> Column:
 
 
 def sanitize_component(s: str | Column, most: int = 120) -> Column:
-    """F2: a safe file-name component; blank becomes ``Untitled``, device names get a leading underscore."""
-    t = F.regexp_replace(F.coalesce(c(s), F.lit("")), r'[\x00-\x1f\x7f/\\:*?"<>|]', "_")
-    t = F.regexp_replace(t, r"^[ .]+|[ .]+$", "")
+    """F2: a safe file-name component; blank becomes ``Untitled``, device names (up to the first dot) get a leading underscore.
+
+    Blanks, then dots, then blanks again are trimmed, once each.
+    """
+    t = F.regexp_replace(F.coalesce(c(s), F.lit("")), r'[\x00-\x1f\x7f-\x9f/\\:*?"<>|]', "_")
+    for ends in (r"(?U)^\s+|\s+$", r"^\.+|\.+$", r"(?U)^\s+|\s+$"):
+        t = F.regexp_replace(t, ends, "")
     t = F.regexp_replace(t, r"_{2,}", "_")
     t = F.when(t == "", F.lit("Untitled")).otherwise(t)
-    t = F.when(F.upper(t).isin(list(RESERVED)), F.concat(F.lit("_"), t)).otherwise(t)
+    t = F.when(F.upper(F.substring_index(t, ".", 1)).isin(list(RESERVED)), F.concat(F.lit("_"), t)).otherwise(t)
     return F.substring(t, 1, most)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -12,14 +11,26 @@ from ..functions.exprs import clamp
 from .vectors import knn_exact
 
 MOST_CHARS = 512
-# Openings and phrases of queries for a person's identity.
-IDENTITY_OPENINGS = ("who is ", "who's ", "name this person", "find person named ", "find someone named ", "identify this person", "recognize ")
+# Openings and the phrase of queries for a person's identity.
+IDENTITY_OPENINGS = ("who is ", "who's ", "name this person", "identify this person", "identify the person", "find this person", "find the person")
 IDENTITY_PHRASE = "person named "
-# Number words.
-NUMBERS = {"no": 0, "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
-# Words without meaning left around extracted phrases.
-FILLER = frozenset("photos photo pictures picture images image with and show me find all that are the of".split())
-_N = r"(\d+|" + "|".join(NUMBERS) + ")"
+# The phrases that name a filter, the filter with its value, its chip, and whether the words stay in the text.
+FACES = (
+    (("with 2 faces", "2 faces", "two faces"), ("faces", 2), "Faces: 2"),
+    (("with 1 face", "1 face", "one face"), ("faces", 1), "Faces: 1"),
+)
+PEOPLE = ("two people", "2 people")
+DECISIONS = (
+    (("kept", "keep"), ("decision", "keep"), "Decision: Keep"),
+    (("rejected", "reject"), ("decision", "reject"), "Decision: Reject"),
+    (("review",), ("decision", "review"), "Decision: Review"),
+)
+SHARP = ("sharp",)
+BLUR = ("blurry", "blur")
+ISSUES = ("technical issue", "technical issues", "quality issue", "quality issues")
+# Words that end the name of a camera, and words without meaning for the search.
+CAMERA_ENDS = ("with", "sharp", "blurry", "blur", "kept", "rejected", "review")
+FILLER = ("photos", "photo", "images", "image", "with", "and")
 
 
 @dataclass
@@ -60,69 +71,90 @@ class Plan:
         return F.coalesce(out, F.lit(False))
 
 
-def _number(t: str) -> int:
-    return NUMBERS[t] if t in NUMBERS else int(t)
+class _Residual:
+    """Query text between blanks, of which whole words are looked up and taken away."""
 
+    def __init__(self, words: str) -> None:
+        self.text = f" {words} "
 
-def plan_query(text: str, cameras: tuple[str, ...] = ()) -> Plan:
-    """Extract faces, people, stars, decision, sharpness, issue and camera, in this order.
+    def has(self, *phrases: str) -> bool:
+        return any(f" {p} " in self.text for p in phrases)
 
-    Empty and over-long queries are refused; a query for an identity is blocked
-    and has no filters.  People words stay in the text: they also describe a scene.
+    def drop(self, *phrases: str) -> None:
+        for p in phrases:
+            self.text = self.text.replace(f" {p} ", " ")
+
+
+def plan_query(text: str) -> Plan:
+    """Extract faces, people, stars, decision, sharpness, blur, issue and camera, in this order.
+
+    Empty and over-long queries are refused; a query for an identity (P19) is
+    blocked and has no filters.  Words for people and the name of a camera stay in
+    the text: they also describe a scene.  Camera names are upper case.
     """
     t = " ".join(text.split())
     if not t or len(t) > MOST_CHARS:
         raise ValueError("a query has 1 to 512 characters")
     low = t.lower()
     if low.startswith(IDENTITY_OPENINGS) or IDENTITY_PHRASE in low:
-        return Plan(text="", blocked=True)
-    p, rest = Plan(), low
-
-    def take(pattern: str) -> re.Match | None:
-        nonlocal rest
-        m = re.search(pattern, rest)
-        if m:
-            rest = rest[: m.start()] + " " + rest[m.end() :]
-        return m
-
-    if m := take(rf"\b{_N} faces?\b"):
-        p.faces = _number(m[1])
-        p.chips.append("Faces")
-    elif m := re.search(rf"\b{_N} (?:people|persons?)\b", rest):
-        p.faces = _number(m[1])
-        p.chips.append("Faces")
-    if m := take(r"\b([1-5])\s*\+\s*stars?\b|\b([1-5]) stars? (?:or more|and up|or better)\b|\bat least ([1-5]) stars?\b"):
-        p.least_rating = int(m[1] or m[2] or m[3])
-        p.chips.append("Rating")
-    elif m := take(r"\b([1-5])[ -]?stars?\b"):
-        p.rating = int(m[1])
-        p.chips.append("Rating")
-    if m := take(r"\b(kept|keepers?|keep|rejected|rejects?|in review|review)\b"):
-        p.decision = "keep" if m[1].startswith("ke") else "reject" if m[1].startswith("rej") else "review"
-        p.chips.append("Decision")
-    if take(r"\b(?:sharp|in focus)\b"):
-        p.sharp = True
-        p.chips.append("Sharpness")
-    if take(r"\b(?:blurry|blurred|out of focus)\b"):
-        p.blurry = True
-        p.chips.append("Blur")
-    if take(r"\btechnical issues?\b"):
-        p.technical_issue = True
-        p.chips.append("Technical issue")
-    for camera in sorted(cameras, key=lambda c: (-len(c), c)):
-        if take(rf"\b(?:shot (?:on|with) |from )?{re.escape(camera.lower())}\b"):
-            p.camera = camera
-            p.chips.append("Camera")
+        return Plan(blocked=True, chips=["Identity search unavailable"])
+    p, rest = Plan(), _Residual(low)
+
+    def found(name: str, value: object, chip: str, *phrases: str) -> None:
+        setattr(p, name, value)
+        p.chips.append(chip)
+        rest.drop(*phrases)
+
+    for phrases, (name, value), chip in FACES:
+        if rest.has(*phrases):
+            found(name, value, chip, *phrases)
+    if p.faces is None and rest.has(*PEOPLE):
+        found("faces", 2, "Faces: 2")
+    stars = {suffix: next((n for n in range(1, 6) if rest.has(f"{n}{suffix} star", f"{n}{suffix} stars")), None) for suffix in ("", "+")}
+    if (n := stars[""]) is not None:
+        found("rating", n, f"Rating: {n}\u2605", f"{n} star", f"{n} stars")
+    elif (n := stars["+"]) is not None:
+        found("least_rating", n, f"Rating: {n}\u2605+", f"{n}+ star", f"{n}+ stars")
+    for phrases, (name, value), chip in DECISIONS:
+        if rest.has(*phrases):
+            found(name, value, chip, *phrases)
             break
-    words = rest.split()
-    while words and words[0] in FILLER:
-        words.pop(0)
-    while words and words[-1] in FILLER:
-        words.pop()
-    p.text = low if words == low.split() else " ".join(w for w in words if p.chips == [] or w not in FILLER)
+    if rest.has(*SHARP):
+        found("sharp", True, "Sharpness: sharp", *SHARP)
+    if rest.has(*BLUR):
+        found("blurry", True, "Blur: review", *BLUR)
+    issue = next((i for i in ISSUES if rest.has(i)), None)
+    if issue:
+        found("technical_issue", True, "Technical quality: issue", issue)
+    _, named, behind = rest.text.partition(" camera ")
+    if named:
+        ends = [at for e in CAMERA_ENDS if (at := behind.find(f" {e} ")) >= 0]
+        camera = behind[: min(ends, default=len(behind))].strip().upper()
+        if camera:
+            found("camera", camera, f"Camera: {camera}", f"camera {camera}")
+    rest.drop(*FILLER)
+    p.text = " ".join(rest.text.split())
     return p
 
 
+# O3: the search's sorts as columns of the metadata; relevance is the score itself.
+SORTS = {"relevance": "score", "captureTime": "captured_at_unix_ms", "technicalQuality": "technical_score", "rating": "rating"}
+
+
+def sorted_results(results: DataFrame, metadata: DataFrame, sort: str = "relevance", id_column: str = "asset_id") -> DataFrame:
+    """O3: search results (at most a page) by relevance, capture time, technical quality or rating.
+
+    Capture times ascend, the others descend; missing values come last, ties by
+    score and then by id.  An unknown sort is an error.
+    """
+    column = SORTS[sort]
+    if sort == "relevance":
+        return results.orderBy(F.desc("score"), id_column)
+    known = results.join(metadata.select(id_column, column), id_column, "left")
+    first = F.col(column).asc_nulls_last() if sort == "captureTime" else F.col(column).desc_nulls_last()
+    return known.orderBy(first, F.desc("score"), id_column)
+
+
 def hybrid_search(vectors: DataFrame, metadata: DataFrame, plan: Plan, query: list[float] | None, k: int = 10, id_column: str = "asset_id", vector: str = "vector_values") -> DataFrame:
     """The plan's filters first, then the k nearest; without a vector the best rated.
 

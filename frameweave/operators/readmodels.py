@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.exprs import PHOTOS
 from .ordered import running_sum, sliced
 
 # Page sizes (default, least, most) of the views.
@@ -17,7 +18,7 @@ PAGES = {"browser": (120, 1, 250), "culling": (60, 1, 120), "similar": (60, 1, 1
 
 def media_type_filter(name: str, column: str = "media_class") -> Column:
     """Rows of a media type; an unknown name means all."""
-    groups = {"photos": ("photo", "raw"), "video": ("video",), "audio": ("audio",), "sidecars": ("sidecar",), "unknown": ("unknown",)}
+    groups = {"photos": PHOTOS, "video": ("video",), "audio": ("audio",), "sidecars": ("sidecar",), "unknown": ("unknown",)}
     return F.col(column).isin(*groups[name]) if name in groups else F.lit(True)
 
 
@@ -25,7 +26,7 @@ def visual_filter(name: str) -> Column:
     """The browser's named filters over the joined evidence row; null evidence fails a filter."""
     c = F.col
     table = {
-        "all": F.lit(True), "photos": c("media_class").isin("photo", "raw"), "raw": c("media_class") == "raw", "jpegHeif": c("extension").isin("jpg", "jpeg", "heic", "heif"),
+        "all": F.lit(True), "photos": c("media_class").isin(*PHOTOS), "raw": c("media_class") == "raw", "jpegHeif": c("media_class").isin("jpeg", "heif"),
         "video": c("media_class") == "video", "audio": c("media_class") == "audio", "offline": ~c("available"), "available": c("available"),
         "strongCandidates": c("quality_band") == "strong", "technicalIssues": c("quality_band") == "technical_issue", "probableDuplicates": c("group_kind").isin("exact", "near"),
         "similarGroups": c("group_kind").isNotNull(), "faces": c("face_count") > 0, "possibleClosedEyes": c("closed_eyes"), "blurReview": c("blur_level").isin("high", "moderate", "uncertain"),

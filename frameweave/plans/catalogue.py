@@ -269,8 +269,8 @@ def edges_one_hop(spark, sf):
 
 
 @query("classify_extension", """
-    SELECT media_class, count(*) AS n FROM (SELECT CASE WHEN e IN ('arw','cr2','cr3','dng','nef','orf','raf','rw2') THEN 'raw' WHEN e IN ('bmp','gif','heic','heif','jpeg','jpg','png','tif','tiff','webp') THEN 'photo' WHEN e IN ('avi','m4v','mkv','mov','mp4','mxf') THEN 'video'
-        WHEN e IN ('aac','aif','aiff','flac','m4a','mp3','wav') THEN 'audio' WHEN e IN ('json','lrf','srt','thm','xml','xmp') THEN 'sidecar' WHEN e IN ('csv','pdf','txt') THEN 'document' WHEN e IN ('7z','tar','zip') THEN 'archive' ELSE 'unknown' END AS media_class
+    SELECT media_class, count(*) AS n FROM (SELECT CASE WHEN e IN ('arw', 'cr2', 'cr3', 'dng', 'nef', 'orf', 'raf', 'rw2', 'pef', 'srw', '3fr') THEN 'raw' WHEN e IN ('jpg', 'jpeg') THEN 'jpeg' WHEN e IN ('heic', 'heif') THEN 'heif'
+        WHEN e = 'png' THEN 'png' WHEN e IN ('tif', 'tiff') THEN 'tiff' WHEN e IN ('mov', 'mp4', 'm4v', 'avi', 'mxf') THEN 'video' WHEN e IN ('wav', 'mp3', 'm4a', 'aac', 'aif', 'aiff') THEN 'audio' WHEN e IN ('xmp', 'srt', 'xml', 'json') THEN 'sidecar' ELSE 'unknown' END AS media_class
         FROM (SELECT lower(regexp_extract(split_part(relative_path, '/', -1), '^.+\\.([^.]*)$', 1)) AS e FROM delivery_source)) GROUP BY media_class""")
 def classify_extension(spark, sf):
     """Copies by media class."""
@@ -278,8 +278,9 @@ def classify_extension(spark, sf):
 
 
 @query("sanitize_names", r"""
-    SELECT p_partkey, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS component, left(regexp_replace(p_type, '[^A-Za-z0-9_-]', '', 'g'), 120) AS cache_key, regexp_replace(p_type, '[^A-Za-z0-9._-]', '_', 'g') AS ingest_name FROM (
-        SELECT *, left(regexp_replace(regexp_replace(regexp_replace(p_name || ' /' || p_brand, '[\x00-\x1f\x7f/\\:*?"<>|]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), '_{2,}', '_', 'g'), 120) AS t FROM part)""")
+    SELECT p_partkey, left(CASE WHEN t = '' THEN 'Untitled' WHEN regexp_matches(upper(split_part(t, '.', 1)), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || t ELSE t END, 120) AS component,
+           left(regexp_replace(p_type, '[^A-Za-z0-9_-]', '', 'g'), 120) AS cache_key, regexp_replace(p_type, '[^A-Za-z0-9._-]', '_', 'g') AS ingest_name FROM (
+        SELECT *, regexp_replace(trim(trim(trim(regexp_replace(p_name || ' /' || p_brand, '[\x00-\x1f\x7f/\\:*?"<>|]', '_', 'g')), '.')), '_{2,}', '_', 'g') AS t FROM part)""")
 def sanitize_names(spark, sf):
     """three kinds of safe names."""
     return load(spark, sf, "part").select("p_partkey", X.sanitize_component(F.concat("p_name", F.lit(" /"), "p_brand")).alias("component"), X.cache_component("p_type").alias("cache_key"), X.ingest_component("p_type").alias("ingest_name"))
