@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bucket, digest
-from ..session import cut
+from ..session import cut, merge_join
 from .components import connected_components
 from .similarity import color_similarity, cosine_unit, hamming, visual_similarity
 
@@ -115,16 +115,19 @@ def visual_groups(accepted: DataFrame, assets: DataFrame, config: GroupingConfig
     A group's kind is decided by the averages over its accepted pairs.  ``span_s``
     is null unless every member has a time.
     """
-    edges = cut(accepted)
-    label = cut(connected_components(edges, "a", "b"))
-    of_edge = edges.join(label.withColumnRenamed("node", "a"), "a").groupBy("project_id", "label").agg(F.avg("perceptual_distance").alias("avg_distance"), F.avg("visual_similarity").alias("avg_similarity"), F.count(F.lit(1)).alias("n_pairs"))
-    info = assets.select("asset_id", "quality", "captured_at_s").groupBy("asset_id").agg(F.max("quality").alias("quality"), F.max("captured_at_s").alias("captured_at_s"))
-    members = label.withColumnRenamed("node", "asset_id").join(info, "asset_id", "left")
+    # An asset of two projects is a vertex of each: groups never reach across projects.
+    at = lambda x: F.concat_ws("\x00", "project_id", x)
+    edges = cut(accepted.withColumns({"va": at("a"), "vb": at("b")}))
+    label = cut(connected_components(edges, "va", "vb"))
+    of_edge = merge_join(edges, label.withColumnRenamed("node", "va"), "va").groupBy("project_id", "label").agg(F.avg("perceptual_distance").alias("avg_distance"), F.avg("visual_similarity").alias("avg_similarity"), F.count(F.lit(1)).alias("n_pairs"))
+    info = assets.where("project_id is not null").groupBy(at("asset_id").alias("node")).agg(F.max("quality").alias("quality"), F.max("captured_at_s").alias("captured_at_s"))
+    asset = lambda x: F.substring_index(x, "\x00", -1)
+    members = merge_join(label, info, "node", "left").withColumn("asset_id", asset("node"))
     span = F.when(F.count("captured_at_s") == F.count(F.lit(1)), F.max("captured_at_s") - F.min("captured_at_s"))
     shape = members.groupBy("label").agg(F.count(F.lit(1)).alias("n_members"), representative().alias("representative"), span.alias("span_s"))
     near = (F.col("avg_distance") <= config.near_distance) & (F.col("avg_similarity") >= config.near_similarity)
-    groups = of_edge.join(shape, "label").withColumn("kind", F.when(near, "near").otherwise("similar")).withColumnRenamed("label", "first_member")
-    return groups, members.select(F.col("label").alias("first_member"), "asset_id")
+    groups = merge_join(of_edge, shape, "label").withColumns({"kind": F.when(near, "near").otherwise("similar"), "first_member": asset("label")}).drop("label")
+    return groups, members.select(F.substring_index("label", "\x00", 1).alias("project_id"), asset("label").alias("first_member"), "asset_id")
 
 
 def burst_groups(assets: DataFrame, config: GroupingConfig = GroupingConfig()) -> DataFrame:

@@ -108,8 +108,15 @@ def split_groups(rows: DataFrame, config: TrainingConfig = TrainingConfig(), pro
     if n < 2:
         return keyed.withColumn("split", F.lit(None).cast("string")).drop("_g")
     take = min(max(round(n * config.holdout_share), 1), n - 1)
-    # The bound of the held-out groups is one row, whatever the number of groups.
-    bound = groups.orderBy("_h", "_g").limit(take).agg(F.max(F.struct("_h", "_g")).alias("b")).first()["b"]
+    # Counts of 65,536 ranges of the hash find the one with the last group held out; only that one is ordered.
+    sizes = sorted(groups.groupBy(F.substring("_h", 1, 4).alias("r")).count().collect())
+    range_, before = None, 0
+    for r, c in sizes:
+        if before + c >= take:
+            range_ = r
+            break
+        before += c
+    bound = groups.where(F.substring("_h", 1, 4) == range_).orderBy("_h", "_g").limit(take - before).agg(F.max(F.struct("_h", "_g")).alias("b")).first()["b"]
     at = F.struct(F.md5("_g").alias("_h"), F.col("_g"))
     held = at <= F.struct(F.lit(bound["_h"]).alias("_h"), F.lit(bound["_g"]).alias("_g"))
     return keyed.withColumn("split", F.when(held, "validation").otherwise("train")).drop("_g")

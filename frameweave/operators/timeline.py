@@ -219,6 +219,16 @@ def timeline_gaps(gapped: DataFrame, cad: DataFrame) -> DataFrame:
     return gapped.join(cad.select("project_id", "normalizer_gap_ms"), "project_id").where(F.col("gap_ms") > F.col("normalizer_gap_ms")).select("project_id", F.col("prev_asset_id").alias("after_asset_id"), F.col("asset_id").alias("before_asset_id"), "gap_ms")
 
 
+def medians(rows: DataFrame, by: list[str], value: str, name: str, count: str) -> DataFrame:
+    """``by, name, count``: the exact median of each group (of an even count the mean of the middle two), by running counts of the distinct values."""
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k")).withColumn("_g", F.concat_ws("\x00", *by))
+    upto = running_sum(sliced(counted, "_g", [value]), "_g", [value], F.col("_k"), "_upto")
+    whole = counted.groupBy("_g").agg(F.sum("_k").alias("_n"))
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col(value)))
+    two = upto.join(whole, "_g").groupBy(*by, "_n").agg(at(F.floor((F.col("_n") - 1) / 2)).alias("_a"), at(F.floor(F.col("_n") / 2)).alias("_b"))
+    return two.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(name), F.col("_n").alias(count))
+
+
 def clock_offsets(assets: DataFrame, least_sets: int = 3, least_ms: int = 60_000, spread_ms: int = 15_000) -> DataFrame:
     """Pairs of cameras whose clocks differ steadily.
 
@@ -239,6 +249,8 @@ def clock_offsets(assets: DataFrame, least_sets: int = 3, least_ms: int = 60_000
     offs = near.select("project_id", "set_id", "n.camera_a", "n.camera_b", (F.col("n.tb") - F.col("n.ta")).alias("offset_ms"))
     by = ["project_id", "camera_a", "camera_b"]
     # The median of an even count is the mean of the middle two, cut towards zero.
-    med = offs.groupBy(*by).agg(F.median("offset_ms").cast("bigint").alias("median_ms"), F.count(F.lit(1)).alias("n_sets"))
-    far = offs.join(med, by).withColumn("dev", F.abs(F.col("offset_ms") - F.col("median_ms"))).groupBy(*by, "median_ms", "n_sets").agg(F.max("dev").alias("most_dev"), F.floor(F.median("dev")).cast("bigint").alias("mad_ms"))
+    med = medians(offs, by, "offset_ms", "median_ms", "n_sets").withColumn("median_ms", F.col("median_ms").cast("bigint"))
+    dev = offs.join(med, by).withColumn("dev", F.abs(F.col("offset_ms") - F.col("median_ms")))
+    most = dev.groupBy(*by, "median_ms", "n_sets").agg(F.max("dev").alias("most_dev"))
+    far = most.join(medians(dev, by, "dev", "mad_ms", "_n").drop("_n"), by).withColumn("mad_ms", F.floor("mad_ms").cast("bigint"))
     return far.where((F.col("n_sets") >= least_sets) & (F.abs("median_ms") >= least_ms) & (F.col("most_dev") <= spread_ms)).select(*by, "median_ms", "mad_ms", "n_sets")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cosine, dot, flip_one_bit, normalize, valid_vector
+from ..session import few_or_merged
 
 TABLES, BITS, EXACT_MOST = 4, 16, 4096
 _BLOCK_ROWS, _BLOCK_QUERIES = 4096, 512
@@ -133,14 +134,16 @@ def dominant_key(rows: DataFrame, group: str, key: str) -> DataFrame:
 def label_candidates(targets: DataFrame, candidates: DataFrame, id_column: str, label: str, vector: str = "vector") -> DataFrame:
     """Each target's best label, its lead over the second, and whether both suffice.
 
-    ``candidates`` are the labels' vectors: a small list, joined by Spark's choice
-    on the vector length.
+    ``candidates`` are the labels' vectors: a short list, which goes to every task
+    once it is counted.  Each task keeps its targets' best two.
     """
     left = targets.select(id_column, F.col(vector).alias("_v"), F.size(vector).alias("_d"))
     right = candidates.select(label, F.col(vector).alias("_w"), F.size(vector).alias("_d"))
-    scored = left.join(right, "_d").select(id_column, label, cosine("_v", "_w").alias("similarity")).where("similarity is not null")
-    w = W.partitionBy(id_column).orderBy(F.desc("similarity"), label)
-    best = scored.withColumns({"_r": F.row_number().over(w), "second": F.lead("similarity").over(w)}).where("_r = 1").drop("_r")
+    scored = left.join(few_or_merged(right), "_d").select(id_column, label, cosine("_v", "_w").alias("similarity")).where("similarity is not null")
+    place = F.row_number().over(W.partitionBy(id_column).orderBy(F.desc("similarity"), label))
+    two = scored.withColumn("_r", place).where(F.col("_r") <= 2).groupBy(id_column)
+    first = lambda x: F.max(F.when(F.col("_r") == 1, F.col(x))).alias(x)
+    best = two.agg(first(label), first("similarity"), F.max(F.when(F.col("_r") == 2, F.col("similarity"))).alias("second"))
     enough = (F.col("similarity") >= TOP_LEAST) & (F.col("second").isNull() | (F.col("similarity") - F.col("second") >= MARGIN_LEAST))
     return best.withColumn("accepted", enough)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import metrics, prefs as P, timeline as T, vectors as V
-from ..session import cut, load
+from ..session import cut, few_or_merged, load
 from .catalogue import ASSETS, assets
 
 Q: dict = {}
@@ -267,7 +267,7 @@ def concept_labels(spark, sf):
     c = cut(V.centroids(e, "label").select("label", F.col("centroid").alias("w")))
     names = F.array(*map(F.lit, ("indoor", "outdoor", "close-up", "wide", "one person", "multiple people", "group", "boat", "water", "subject")))
     left, right = e.select(F.col("vec_id").alias("segment"), "embedding", F.size("embedding").alias("d")), c.select("label", "w", F.size("w").alias("d"))
-    scores = left.join(right, "d").select("segment", F.get(names, F.col("label") % 10).alias("concept"), X.cosine("embedding", "w").alias("similarity"))
+    scores = left.join(few_or_merged(right), "d").select("segment", F.get(names, F.col("label") % 10).alias("concept"), X.cosine("embedding", "w").alias("similarity"))
     best = scores.groupBy("segment", "concept").agg(F.max("similarity").alias("similarity"))
     return V.resolve_concepts(best).select("segment", "concept", F.round("similarity", 6).alias("similarity"), F.col("place").cast("bigint").alias("place"))
 
@@ -282,7 +282,7 @@ def retrieval_metrics(spark, sf):
     e = load(spark, sf, "embeddings")
     c = cut(V.centroids(e, "label").select(F.col("label").alias("other"), F.col("centroid").alias("w")))
     left, right = e.select(F.col("vec_id").alias("query_id"), "label", "embedding", F.size("embedding").alias("d")), c.select("other", "w", F.size("w").alias("d"))
-    s = left.join(right, "d").select("query_id", (F.col("label") == F.col("other")).alias("relevant"), "other", X.dot("embedding", "w").alias("sim"))
+    s = left.join(few_or_merged(right), "d").select("query_id", (F.col("label") == F.col("other")).alias("relevant"), "other", X.dot("embedding", "w").alias("sim"))
     hits = s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "other")))
     got = metrics.retrieval_metrics(hits)
     return got.select("n_queries", *[F.round(x, 6).alias(x) for x in got.columns[1:]])
@@ -416,8 +416,7 @@ def stream_replay(spark, sf):
     from ..session import scratch_path
     from ..streaming.replay import replay_files
 
-    at = scratch_path(spark, "replay")
-    src = at if "://" in at else f"file://{at}"
+    src = scratch_path(spark, "replay")
     load(spark, sf, "events").repartition(3).write.parquet(f"{src}/in")
     schema = spark.read.parquet(f"{src}/in").schema.simpleString()[len("struct<") : -1]
     replay_files(spark, f"{src}/in", ", ".join(x.replace(":", " ", 1) for x in schema.split(",")), f"{src}/state", lambda df, i: df.write.mode("overwrite").parquet(f"{src}/out/batch={i}"))

@@ -488,7 +488,7 @@ def primary_group(spark, sf):
     fe, _, gated = _gated(spark, sf)
     groups, members = G.visual_groups(gated, fe)
     exact = fe.join(G.exact_groups(fe).select("project_id", F.col("hash").alias("verified_content_hash")), ["project_id", "verified_content_hash"]).select("asset_id", F.lit("exact").alias("kind"), F.concat(F.lit("x:"), "verified_content_hash").alias("group_key"))
-    visual = members.join(groups.select("first_member", "kind"), "first_member").select("asset_id", "kind", F.concat(F.lit("v:"), "first_member").alias("group_key"))
+    visual = members.join(groups.select("project_id", "first_member", "kind"), ["project_id", "first_member"]).select("asset_id", "kind", F.concat(F.lit("v:"), "first_member").alias("group_key"))
     return G.primary_groups(visual.unionByName(exact).distinct())
 
 

@@ -6,7 +6,8 @@ reads its settings; only :func:`local_session` (tests, bench) builds one.
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +27,7 @@ def local_session(cpus: int | str = "*", app: str = "frameweave", **conf: str) -
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -51,16 +53,44 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="frameweave-")
+        here = tempfile.mkdtemp(prefix="frameweave-")
+        atexit.register(shutil.rmtree, here, ignore_errors=True)
+        at = "file://" + here
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+_written: list[str] = []  # what this process put into the shared folder beside checkpoints
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, as a plain path where it is a local or mounted one."""
+    """A fresh path in the shared folder; :func:`clean_scratch` deletes what lies there."""
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return at[len("file://"):] if at.startswith("file://") else at
+    _written.append(at)
+    return at
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def mounted_path(spark: SparkSession, path: str) -> str | None:
+    """The path by which Python on all machines opens a file of the shared folder, None where it isn't a mounted one.
+
+    The cluster's own file system decides what a path without a scheme means, not
+    what happens to lie on the driver's disk.
+    """
+    at, fs = _file_system(spark, path)
+    return at.toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete what this process wrote by :func:`scratch_path`; checkpoints go with their tables (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    while _written:
+        at, fs = _file_system(spark, _written.pop())
+        fs.delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -109,5 +139,6 @@ def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Dat
     return left.hint("merge").join(right.hint("merge"), on, how)
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") and os.path.isdir(os.path.dirname(path))
+def few_or_merged(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A side that should be a short list, hinted for its join: to every task if its rows are counted and at most ``most``, else by sorting."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
