@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import is_local_path, scratch_path
+from ..session import mounted_path, scratch_path
 from . import lexicon
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SETTING = "spark.frameweave.vocabulary"  # where the vocabulary file lies on every machine, if elsewhere
 LEXICON_WORDS = 50_000
 # Fixed value: how the vocabulary's makers split texts into words before merging.
 WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -117,6 +118,11 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return counted.where(F.length("word") <= _LONG_WORD).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def vocabulary_of(spark: SparkSession) -> str:
+    """The path of the vocabulary that the session names, else ``VOCABULARY``."""
+    return spark.conf.get(SETTING, VOCABULARY)
+
+
 def build_lexicon(spark: SparkSession, texts: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS):
     """The lexicon of a corpus as something tasks can open: a path in the shared folder, or its bytes.
 
@@ -126,8 +132,8 @@ def build_lexicon(spark: SparkSession, texts: DataFrame, text: str = "text", voc
     ranks = _ranks(vocabulary)
     top = word_counts(texts, text).orderBy(F.desc("n"), "word").limit(words).collect()
     data = lexicon.build({w: merge(w, ranks) for w in (r["word"].encode() for r in top)})
-    path = scratch_path(spark, "lexicon")
-    if is_local_path(path):
+    path = mounted_path(spark, scratch_path(spark, "lexicon"))
+    if path is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "wb") as f:
             f.write(data)

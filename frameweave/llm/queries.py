@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut, load
 from .canonical import match_metadata
 from .clusters import cluster_members, describe
-from .encode import build_lexicon, count_tokens, encode
+from .encode import build_lexicon, count_tokens, encode, vocabulary_of
 from .mixing import plan_mix, shares
 from .neighbours import asset_neighbours, pairs_found, valid_vectors
 from .ranking import counting_choices, global_ranks, set_winners, strengths
@@ -81,7 +81,8 @@ def p7_ranking(spark: SparkSession, sf: str) -> DataFrame:
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     docs = load(spark, sf, "documents")
-    return encode(docs, ["doc_id"], "text", build_lexicon(spark, docs))
+    where = vocabulary_of(spark)
+    return encode(docs, ["doc_id"], "text", build_lexicon(spark, docs, vocabulary=where), where)
 
 
 def _counted(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +90,8 @@ def _counted(spark: SparkSession, sf: str) -> DataFrame:
     wanted = load(spark, sf, "mix_target").where("source is not null").select("source").distinct()
     # mix_target doesn't grow (nine rows): the broadcast is bounded by it.
     mine = docs.select("doc_id", "source", "text").join(F.broadcast(wanted), "source", "left_semi")
-    return cut(count_tokens(mine, ["doc_id", "source"], "text", build_lexicon(spark, docs)))
+    where = vocabulary_of(spark)
+    return cut(count_tokens(mine, ["doc_id", "source"], "text", build_lexicon(spark, docs, vocabulary=where), where))
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
