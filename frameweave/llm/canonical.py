@@ -275,12 +275,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     lt = left.select("kind", "l", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rt = right.select("kind", "r", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     shared = rt.select("kind", "token").distinct()
-    seen = lt.join(shared, ["kind", "token"], "left_semi").select("kind", "token").unionByName(rt.select("kind", "token"))
+    seen = lt.join(_bounded(shared), ["kind", "token"], "left_semi").select("kind", "token").unionByName(rt.select("kind", "token"))
     # One row for each token of the reference list.
     rank = cut(seen.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("c")).withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy("c", "token"))).drop("c"))
 
     def ranked(rows: DataFrame, side: str) -> DataFrame:
-        return rows.join(rank, ["kind", "token"]).groupBy("kind", side, "n").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+        return rows.join(_bounded(rank), ["kind", "token"]).groupBy("kind", side, "n").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
 
     lr, rr = cut(ranked(lt, "l")), cut(ranked(rt, "r"))
     keep = lambda n: n - F.ceil(F.lit(threshold) * n - 1e-9) + 1

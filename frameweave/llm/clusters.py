@@ -197,4 +197,4 @@ def describe(members: DataFrame, typical: int = 3) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("density"), "asset_id"))
     top = score.withColumn("rank", rank).where(F.col("rank") <= typical).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rank", "asset_id"))).alias("t"))
     sizes = members.groupBy("project_id", "cluster_id").agg(F.count(F.lit(1)).alias("n_members"))
-    return sizes.join(top, "cluster_id").select("project_id", "cluster_id", "n_members", F.array_join(F.col("t.asset_id"), ",").alias("typical_members"))
+    return merge_join(sizes, top, "cluster_id").select("project_id", "cluster_id", "n_members", F.array_join(F.col("t.asset_id"), ",").alias("typical_members"))

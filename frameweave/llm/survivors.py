@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import merge_join
+
 # Fixed value: a date and time with an offset, as observation times are written.
 _TIME = r"^\s*(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}:\d{2})(?:[.,](\d{1,6})\d*)?\s*(?:([Zz])|([+-]\d{2}):?(\d{2}))\s*$"
 
@@ -59,4 +61,4 @@ def preferred_copies(sources: DataFrame) -> DataFrame:
     counts = latest.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_copies"), F.count_if("available").alias("n_available"))
     order = [F.col("verified").desc(), F.col("checked").desc(), F.col("seen_us").desc_nulls_last(), F.col("file_instance_id")]
     best = first_of(latest.where("available"), ["asset_id"], order).drop("available")
-    return counts.join(best, "asset_id", "left")
+    return merge_join(counts, best, "asset_id", "left")
