@@ -28,7 +28,7 @@ def validate_request(rows: DataFrame, key: str, thresholds: Iterable[float] = ()
 
 
 # The privacy exclusions that a handoff must declare.
-EXCLUSIONS = ("source_paths", "volume_identity", "face_evidence", "embeddings")
+EXCLUSIONS = ("private_notes", "preference_model_data", "technical_model_internals", "database_paths")
 
 
 def manifest_problems(entries: DataFrame, manifest: str, version: int = 1) -> DataFrame:

@@ -200,7 +200,7 @@ def request_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 MANIFESTS = [
     ("m1", 1, list(checks.EXCLUSIONS), "a/b.jpg", None), ("m2", 1, list(checks.EXCLUSIONS), "../b.jpg", "unsafe_path"), ("m3", 2, list(checks.EXCLUSIONS), "a.jpg", "schema_version"),
-    ("m4", 1, ["embeddings"], "a.jpg", "privacy_exclusion"), ("m5", None, None, "/a", "unsafe_path,schema_version,privacy_exclusion"),
+    ("m4", 1, ["database_paths"], "a.jpg", "privacy_exclusion"), ("m5", None, None, "/a", "unsafe_path,schema_version,privacy_exclusion"),
 ]
 
 

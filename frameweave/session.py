@@ -71,7 +71,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return at
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The path and its file system, as the cluster is set up."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -82,14 +83,14 @@ def mounted_path(spark: SparkSession, path: str) -> str | None:
     The cluster's own file system decides what a path without a scheme means, not
     what happens to lie on the driver's disk.
     """
-    at, fs = _file_system(spark, path)
+    at, fs = file_system(spark, path)
     return at.toUri().getPath() if fs.getUri().getScheme() == "file" else None
 
 
 def clean_scratch(spark: SparkSession) -> None:
     """Delete what this process wrote by :func:`scratch_path`; checkpoints go with their tables (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
     while _written:
-        at, fs = _file_system(spark, _written.pop())
+        at, fs = file_system(spark, _written.pop())
         fs.delete(at, True)
 
 

@@ -1,15 +1,19 @@
-"""Scans of folders and headers."""
+"""Scans of folders and headers, the vector-index store, volumes."""
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import extension, file_name, media_class, safe_relative_path
+from ..session import cut, file_system, partitions
 
 SAMPLE, WHOLE_MOST, HEAD_MOST = 65_536, 1_048_576, 16 * 1_048_576
 
@@ -34,6 +38,97 @@ def with_fingerprints(scanned: DataFrame) -> DataFrame:
     return scanned.withColumns({"fast_fingerprint": F.sha2(F.concat(head, tail), 256), "content_hash": F.when(F.col("byte_size") <= WHOLE_MOST, F.sha2("content", 256))})
 
 
+_ENTRY = "relative_path string, kind string, byte_size bigint, modified_us bigint, warning string"
+
+
+def walk_media(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below a mounted ``root`` and a warning for everything that was passed over.
+
+    ``relative_path, kind`` (``file``, or of a warning ``symlink``, ``special``,
+    ``unreadable``, ``unsafe``), ``byte_size, modified_us, warning``, and for files
+    ``display_name, extension, media_class``.  Folders are listed level by level in
+    tasks; links aren't followed; a folder that can't be read is a warning, but a
+    missing root an error.
+    """
+    import os
+
+    if not os.path.isdir(root):
+        raise FileNotFoundError(root)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            for folder in pdf["relative_path"]:
+                try:
+                    found = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+                except OSError as e:
+                    rows.append((folder, "unreadable", None, None, f"cannot read directory: {e.strerror}"))
+                    continue
+                for e in found:
+                    rel = f"{folder}/{e.name}" if folder else e.name
+                    try:
+                        rel.encode()
+                        if e.is_symlink():
+                            rows.append((rel, "symlink", None, None, "symbolic link skipped"))
+                        elif e.is_dir(follow_symlinks=False):
+                            rows.append((rel, "folder", None, None, None))
+                        elif e.is_file(follow_symlinks=False):
+                            info = e.stat(follow_symlinks=False)
+                            rows.append((rel, "file", info.st_size, info.st_mtime_ns // 1000, None))
+                        else:
+                            rows.append((rel, "special", None, None, "special file skipped"))
+                    except UnicodeEncodeError:
+                        rows.append((rel.encode(errors="replace").decode(), "unsafe", None, None, "unsafe path skipped"))
+                    except OSError as x:
+                        rows.append((rel, "unreadable", None, None, f"cannot inspect entry: {x.strerror}"))
+            yield pd.DataFrame(rows, columns=["relative_path", "kind", "byte_size", "modified_us", "warning"]).astype({"byte_size": "Int64", "modified_us": "Int64"})
+
+    folders, out = spark.createDataFrame([("",)], "relative_path string"), None
+    while True:
+        level = cut(folders.repartition(partitions(spark)).mapInPandas(entries, _ENTRY))
+        rest = level.where("kind != 'folder'")
+        out = rest if out is None else out.unionByName(rest)
+        folders = level.where("kind = 'folder'").select("relative_path")
+        if folders.isEmpty():
+            break
+    name, is_file = file_name("relative_path"), F.col("kind") == "file"
+    return out.withColumns({"display_name": F.when(is_file, name), "extension": F.when(is_file, extension(name)), "media_class": F.when(is_file, media_class("relative_path"))})
+
+
+def fingerprint_files(walked: DataFrame, root: str) -> DataFrame:
+    """``relative_path, fast_fingerprint, content_hash, warning`` of the walked files, which are opened in tasks.
+
+    At most both ends of 64 KiB are read of a file; only one of up to 1 MiB is read
+    whole and has a content hash.  The digest equals that of
+    :func:`with_fingerprints`.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import os
+
+        for pdf in batches:
+            rows = []
+            for rel, ext in zip(pdf["relative_path"], pdf["extension"]):
+                try:
+                    with open(os.path.join(root, rel), "rb") as f:
+                        size = os.fstat(f.fileno()).st_size
+                        whole = f.read(WHOLE_MOST) if size <= WHOLE_MOST else None
+                        if whole is None:
+                            head = f.read(SAMPLE)
+                            f.seek(-SAMPLE, os.SEEK_END)
+                            ends = head + f.read(SAMPLE)
+                        else:
+                            ends = whole[:SAMPLE] + (whole[-SAMPLE:] if size > 2 * SAMPLE else whole[SAMPLE : 2 * SAMPLE])
+                    fast = hashlib.sha256(b"\x00".join([b"fast-1", str(size).encode(), ext.encode()]) + ends).hexdigest()
+                    rows.append((rel, fast, hashlib.sha256(whole).hexdigest() if whole is not None else None, None))
+                except OSError as e:
+                    rows.append((rel, None, None, f"cannot fingerprint: {e.strerror}"))
+            yield pd.DataFrame(rows, columns=["relative_path", "fast_fingerprint", "content_hash", "warning"])
+
+    return walked.where("kind = 'file'").select("relative_path", "extension").mapInPandas(run, "relative_path string, fast_fingerprint string, content_hash string, warning string")
+
+
 def wav_header(data: bytes) -> dict[str, int] | None:
     """Sample rate, depth, channels and duration of a RIFF file, None for anything else."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
@@ -113,22 +208,63 @@ def media_headers(scanned: DataFrame) -> DataFrame:
     return scanned.select("path", "content").mapInPandas(run, out)
 
 
+def _index_path(path: str, project_id: str, model_key: str) -> str:
+    part = lambda x: hashlib.sha256(x.encode()).hexdigest()[:32]
+    return f"{path.rstrip('/')}/{part(project_id)}/{part(model_key)}"
+
+
+def _checksum(buckets: DataFrame) -> str:
+    """A digest of all rows in any order: their number and two sums of their hashes."""
+    columns = sorted(buckets.columns)
+    h = [F.xxhash64(F.lit(seed), *columns) for seed in (1, 2)]
+    r = buckets.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(x.cast("decimal(20,0)")), F.lit(0)) for x in h]).first()
+    return hashlib.sha256("/".join(map(str, r)).encode()).hexdigest()
+
+
 def write_vector_index(signatures: DataFrame, path: str, project_id: str, model_key: str, dimension: int, version: str = "lsh-1") -> None:
-    """The buckets of a vector index as Parquet by project and model, with what they were built for beside them."""
-    tagged = signatures.withColumns({"project_id": F.lit(project_id), "model_key": F.lit(model_key)})
-    tagged.write.mode("overwrite").partitionBy("project_id", "model_key").parquet(f"{path}/buckets")
-    meta = [(project_id, model_key, dimension, version)]
-    signatures.sparkSession.createDataFrame(meta, "project_id string, model_key string, dimension int, version string").write.mode("overwrite").parquet(f"{path}/meta")
+    """The buckets of one project and model as Parquet, with what they were built for and their checksum.
 
+    They are written beside their place and renamed into it when complete, so a
+    reader finds the old index, none or the new one; other projects' and models'
+    indexes aren't touched.
+    """
+    spark = signatures.sparkSession
+    at = _index_path(path, project_id, model_key)
+    new = f"{at}.{uuid.uuid4().hex}"
+    signatures.write.parquet(f"{new}/buckets")
+    meta = [(project_id, model_key, dimension, version, _checksum(spark.read.parquet(f"{new}/buckets")))]
+    spark.createDataFrame(meta, "project_id string, model_key string, dimension int, version string, checksum string").coalesce(1).write.json(f"{new}/meta")
+    target, fs = file_system(spark, at)
+    fs.delete(target, True)
+    if not fs.rename(file_system(spark, new)[0], target):
+        raise OSError(f"the index could not be renamed to {at}")
 
-def load_vector_index(spark: SparkSession, path: str, project_id: str, model_key: str, dimension: int, version: str = "lsh-1") -> DataFrame | None:
-    """The buckets, None if there is no index; ValueError if it was built for something else (rebuild it)."""
-    from pyspark.errors import AnalysisException
 
-    try:
-        meta = spark.read.parquet(f"{path}/meta")
-    except AnalysisException:
+def load_vector_index(spark: SparkSession, path: str, project_id: str, model_key: str, dimension: int, version: str = "lsh-1") -> DataFrame | None:
+    """The buckets, None if there is no index; ValueError if it is damaged or was built for something else (rebuild it)."""
+    at, fs = file_system(spark, _index_path(path, project_id, model_key))
+    if not fs.exists(at):
         return None
-    if meta.where((F.col("project_id") == project_id) & (F.col("model_key") == model_key) & (F.col("dimension") == dimension) & (F.col("version") == version)).isEmpty():
-        raise ValueError("the index was built for another project, model, length or version")
-    return spark.read.parquet(f"{path}/buckets").where((F.col("project_id") == project_id) & (F.col("model_key") == model_key)).drop("project_id", "model_key")
+    try:
+        meta = spark.read.json(f"{at}/meta").first().asDict()
+        buckets = spark.read.parquet(f"{at}/buckets")
+        wanted = {"project_id": project_id, "model_key": model_key, "dimension": dimension, "version": version}
+        if {k: meta[k] for k in wanted} != wanted:
+            raise ValueError("the index was built for another project, model, length or version")
+        sound = _checksum(buckets) == meta["checksum"]
+    except (AnalysisException, KeyError, AttributeError) as e:
+        raise ValueError("the index is damaged") from e
+    if not sound:
+        raise ValueError("the index doesn't match its checksum")
+    return buckets
+
+
+def volumes(observed: DataFrame) -> DataFrame:
+    """The latest observation of each volume with its ``identity`` (its file system's, else its id) and whether it is ``online``.
+
+    ``observed``: ``volume_id, filesystem_identity, mount_root, label,
+    capacity_bytes, available_bytes, observed_at``; a volume without a mount root
+    is offline.  Rows without an id are left out.
+    """
+    last = observed.where("volume_id is not null").groupBy("volume_id").agg(F.max(F.struct("observed_at", *[c for c in observed.columns if c not in ("volume_id", "observed_at")])).alias("v"))
+    return last.select("volume_id", "v.*").withColumns({"identity": F.coalesce(F.when(F.trim("filesystem_identity") != "", F.col("filesystem_identity")), F.col("volume_id")), "online": F.col("mount_root").isNotNull()})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import csv_cell, html_text
+from ..functions.exprs import csv_cell, file_name, html_text, safe_relative_path
+from ..operators.checks import EXCLUSIONS
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -25,6 +26,38 @@ def html_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("line"))
 
 
+# The columns of the handoff table.
+HANDOFF = ("handoff_filename", "original_filename", "capture_time", "camera", "rating", "star", "human_selection", "moment_label", "work_item_status")
+
+
+def handoff_rows(items: DataFrame) -> DataFrame:
+    """The nine columns of the handoff table; every item is queued."""
+    text = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    name = F.coalesce(F.when(file_name("handoff_relative_path") != "", file_name("handoff_relative_path")), F.col("original_filename"))
+    return items.select(
+        name.alias("handoff_filename"), "original_filename", text("captured_at").alias("capture_time"), text("camera").alias("camera"), text("rating").alias("rating"),
+        F.when(F.coalesce("starred", F.lit(False)), "true").otherwise("false").alias("star"), text("human_decision").alias("human_selection"), text("moment_label").alias("moment_label"), F.lit("queued").alias("work_item_status"),
+    )
+
+
+def handoff_manifests(items: DataFrame, handoffs: DataFrame, version: int = 1) -> DataFrame:
+    """``handoff_id, manifest, checksum``: each handoff as one JSON document, its items in the order of their ids.
+
+    ``handoffs``: one row each with ``handoff_id`` and what describes it; ``items``:
+    ``handoff_id, work_item_id, handoff_relative_path, ...``.  Only the given columns
+    are written; a handoff with an unsafe path is refused with all others.  A
+    handoff is a document for one person's editor, so its items fit one row.
+    """
+    if not items.where(~safe_relative_path("handoff_relative_path")).isEmpty():
+        raise ValueError("a handoff has an unsafe path")
+    fields = ["work_item_id", *sorted(c for c in items.columns if c not in ("handoff_id", "work_item_id"))]
+    listed = items.groupBy("handoff_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("work_items"))
+    exclusions = F.map_from_arrays(F.array(*[F.lit(f"{x}_excluded") for x in EXCLUSIONS]), F.array(*[F.lit(True)] * len(EXCLUSIONS)))
+    head = [F.lit(version).alias("schema_version"), *sorted(handoffs.columns), exclusions.alias("privacy"), F.coalesce("work_items", F.array().cast(listed.schema["work_items"].dataType)).alias("work_items")]
+    text = handoffs.join(listed, "handoff_id", "left").select("handoff_id", F.to_json(F.struct(*head)).alias("manifest"))
+    return text.withColumn("checksum", F.sha2("manifest", 256))
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """One JSON object a line."""
     rows.write.mode("errorifexists").json(path)
