@@ -46,9 +46,9 @@ def timeline(assets: DataFrame, columns: list[str]) -> DataFrame:
     return sliced(timed.select("project_id", "captured_at_unix_ms", "asset_id", *columns), "project_id", ORDER)
 
 
-def gaps(chunked: DataFrame) -> DataFrame:
-    """``project_id, gap_ms`` between neighbours."""
-    return neighbours(chunked, "project_id", ORDER, ["captured_at_unix_ms", "asset_id"]).where("prev_asset_id is not null").withColumn("gap_ms", F.col("captured_at_unix_ms") - F.col("prev_captured_at_unix_ms"))
+def gaps(chunked: DataFrame, columns: list[str] = ()) -> DataFrame:
+    """``gap_ms`` between neighbours; of the left one its time, id and ``columns`` with ``prev_`` before their names."""
+    return neighbours(chunked, "project_id", ORDER, ["captured_at_unix_ms", "asset_id", *columns]).where("prev_asset_id is not null").withColumn("gap_ms", F.col("captured_at_unix_ms") - F.col("prev_captured_at_unix_ms"))
 
 
 def nearest_rank(values: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
@@ -168,9 +168,9 @@ def context_similarity_by_key(chunked: DataFrame, vectors: DataFrame, config: Ti
     return got.groupBy(F.col("project_id.project_id").alias("project_id"), "asset_id").agg(best).select("project_id", "asset_id", "b.semantic_similarity")
 
 
-def boundaries(chunked: DataFrame, cad: DataFrame, semantic: DataFrame | None = None, config: TimelineConfig = TimelineConfig(), only: tuple[str, ...] | None = None) -> DataFrame:
-    """Every adjacent pair of a project with its score and category."""
-    pairs = neighbours(chunked, "project_id", ORDER, ["captured_at_unix_ms", "asset_id", *COLUMNS]).where("prev_asset_id is not null")
+def boundaries(line: DataFrame, cad: DataFrame, semantic: DataFrame | None = None, config: TimelineConfig = TimelineConfig(), only: tuple[str, ...] | None = None) -> DataFrame:
+    """Every adjacent pair of a project with its score and category; ``line`` in chunks, or its :func:`gaps` with ``COLUMNS`` where they are at hand."""
+    pairs = line if "gap_ms" in line.columns else gaps(line, COLUMNS)
     pairs = pairs.join(cad.select("project_id", "normalizer_gap_ms"), "project_id", "left")
     pairs = pairs.join(semantic, ["project_id", "asset_id"], "left") if semantic is not None else pairs.withColumn("semantic_similarity", F.lit(None).cast("double"))
     score = boundary_score(signals(config), config, only)
@@ -180,9 +180,9 @@ def boundaries(chunked: DataFrame, cad: DataFrame, semantic: DataFrame | None =
 def segments(chunked: DataFrame, bounds: DataFrame) -> DataFrame:
     """Every asset with the 0-based number of its segment: each moderate or strong boundary starts one."""
     starts = bounds.where("category in ('moderate', 'strong')").select("project_id", F.col("right_asset_id").alias("asset_id"), F.lit(1).alias("starts"))
-    marked = chunked.drop("chunk").join(starts, ["project_id", "asset_id"], "left")
-    again = sliced(marked, "project_id", ORDER)
-    return running_sum(again, "project_id", ORDER, F.coalesce("starts", F.lit(0)).cast("bigint"), "segment").drop("chunk", "starts")
+    # The chunks stay what they are: a running sum needs no new ranges.
+    marked = chunked.join(starts, ["project_id", "asset_id"], "left")
+    return running_sum(marked, "project_id", ORDER, F.coalesce("starts", F.lit(0)).cast("bigint"), "segment").drop("chunk", "starts")
 
 
 def segment_summary(segmented: DataFrame) -> DataFrame:

@@ -25,8 +25,12 @@ def knn_exact(vectors: DataFrame, query: list[float], k: int = 10, where: Column
     applied first, so that it reaches the scan.
     """
     rows = vectors if where is None else vectors.where(where)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.where(valid_vector(vector) & (F.size(vector) == len(query))).select(F.col(id_column), dot(normalize(vector), normalize(q)).alias("score"))
+    q = np.asarray(query, dtype=float)
+    if not len(q) or not np.isfinite(q).all() or not q.any():
+        return rows.select(F.col(id_column), F.lit(None).cast("double").alias("score")).limit(0)
+    unit = F.array(*[F.lit(float(x)) for x in q / np.linalg.norm(q)])
+    valid = rows.where(valid_vector(vector) & (F.size(vector) == len(q)))
+    scored = valid.select(F.col(id_column), (dot(vector, unit) / F.sqrt(dot(vector, vector))).alias("score"))
     return scored.orderBy(F.desc("score"), id_column).limit(k)
 
 

@@ -81,7 +81,8 @@ def _bounds(spark: SparkSession, sf: str, only: tuple[str, ...] | None = None, s
         named = load(spark, sf, "semantic_vector").where("asset_id is not null and compatibility_key is not null")
         vec = named.groupBy("asset_id", F.col("compatibility_key").alias("key")).agg(F.max(F.struct("embedded_at", "vector_values")).alias("v")).select("asset_id", "key", F.col("v.vector_values").alias("vector"))
         sem = T.context_similarity_by_key(line, cut(vec))
-    return line, cut(T.boundaries(line, T.cadence(T.gaps(line)), sem, only=only))
+    pairs = cut(T.gaps(line, T.COLUMNS))
+    return line, cut(T.boundaries(pairs, T.cadence(pairs), sem, only=only))
 
 
 @query("boundaries", f"WITH {_BOUND} SELECT project_id, left_asset_id, right_asset_id, round(score, 6) AS score, category FROM bo")
