@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut, ordered_chunks, partitions
+from ..session import ordered_chunks, partitions
 
 _LEAST_ROWS = 256  # a chunk inside a group must hold at least the halo's rows
 
@@ -20,12 +20,14 @@ _LEAST_ROWS = 256  # a chunk inside a group must hold at least the halo's rows
 def sliced(df: DataFrame, group: str, order: list[str], chunks: int | None = None) -> DataFrame:
     """``df`` in ordered chunks (column ``chunk``); ``group`` and ``order`` must give a total order.
 
-    The rows are worked out once and written; counting, sampling the ranges and
-    sorting read what was written.
+    The rows are worked out once: counting, sampling the ranges and sorting read
+    them from where executors keep them (what is lost with one is worked out again).
     """
-    df = cut(df)
-    n = chunks or max(1, min(partitions(df.sparkSession), df.count() // _LEAST_ROWS))
-    return ordered_chunks(df, group, *order, n=n)
+    kept = df.persist()
+    n = chunks or max(1, min(partitions(df.sparkSession), kept.count() // _LEAST_ROWS))
+    out = ordered_chunks(kept, group, *order, n=n)
+    kept.unpersist()
+    return out
 
 
 def with_halo(chunked: DataFrame, group: str, order: list[str], k: int = 1) -> DataFrame:

@@ -234,11 +234,11 @@ _CENT = """p AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM (SELECT label,
     c0 AS (SELECT label, list(m ORDER BY i) AS v, max(n) AS n FROM p GROUP BY 1), c AS (SELECT label, n, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c0)"""
 
 
-@query("centroids_by_label", f"WITH {_CENT} SELECT label, n, array_to_string(list_transform(v[1:4], lambda x: printf('%.4f', x)), ',') AS head FROM c")
+@query("centroids_by_label", f"WITH {_CENT} SELECT label, n, array_to_string(list_transform(v, lambda x: printf('%.4f', x)), ',') AS centroid FROM c")
 def centroids_by_label(spark, sf):
-    """Centroids of the labels (the first values as text)."""
+    """Centroids of the labels (their values as text)."""
     c = V.centroids(load(spark, sf, "embeddings"), "label")
-    return c.select("label", "n", F.array_join(F.transform(F.slice("centroid", 1, 4), lambda x: F.format_string("%.4f", x)), ",").alias("head"))
+    return c.select("label", "n", F.array_join(F.transform("centroid", lambda x: F.format_string("%.4f", x)), ",").alias("centroid"))
 
 
 @query("label_top1_margin", f"""WITH {_CENT}, s AS (SELECT e.vec_id, c.label, list_dot_product(e.embedding::DOUBLE[], c.v) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS sim FROM embeddings e, c),

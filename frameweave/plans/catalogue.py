@@ -371,7 +371,9 @@ def tagged_values(spark, sf):
     return assets(spark, sf).select("asset_id", t.alias("t")).select("asset_id", "t.kind", "t.generic", "t.phrase")
 
 
-@query("nfc_stem")
+@query("nfc_stem", r"""WITH n AS (SELECT file_instance_id, nfc_normalize(split_part(replace(relative_path, '\\', '/'), '/', -1)) AS name FROM delivery_source),
+    s AS (SELECT file_instance_id, CASE WHEN regexp_matches(name, '^.+\.[^.]*$') THEN regexp_extract(name, '^(.+)\.[^.]*$', 1) ELSE name END AS stem FROM n)
+    SELECT DISTINCT file_instance_id, regexp_replace(regexp_replace(lower(stem), '[^\p{L}\p{N}]', '', 'g'), '^(.+?)(edited|edit|retouch|final)$', '\1') AS stem FROM s""")
 def nfc_stem(spark, sf):
     """composed, comparable stems of all copies' names."""
     return load(spark, sf, "delivery_source").select("file_instance_id", X.match_stem(X.nfc(X.file_name("relative_path"))).alias("stem")).distinct()
@@ -430,6 +432,13 @@ def theta_pairs_small(spark, sf):
     return G.exhaustive_pairs(load(spark, sf, "nation").select(F.col("n_regionkey").alias("project_id"), F.col("n_nationkey").alias("asset_id")))
 
 
+@query("theta_pairs_projects", f"""WITH f AS (SELECT DISTINCT project_id, asset_id FROM {EVIDENCE}), n AS (SELECT project_id FROM f GROUP BY 1 HAVING count(*) <= 256)
+    SELECT x.project_id, x.asset_id AS a, y.asset_id AS b FROM f x JOIN f y ON x.project_id = y.project_id AND x.asset_id < y.asset_id WHERE x.project_id IN (SELECT project_id FROM n)""")
+def theta_pairs_projects(spark, sf):
+    """All pairs of every project with at most 256 fingerprints; the limit is the operator's own."""
+    return G.exhaustive_pairs(evidence(spark, sf))
+
+
 def _gated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     fe = cut(evidence(spark, sf))
     scored = cut(G.score_pairs(G.candidate_pairs(fe), fe))
