@@ -168,3 +168,11 @@ ORACLE |= {
     "p5_found": f"WITH RECURSIVE {_POINTS}, {_LINKS} SELECT label AS asset_a, node AS asset_b FROM m WHERE node <> label",
     "p6_found": f"WITH {_VECTORS} SELECT DISTINCT vk AS vector_kind, least(a, b) AS asset_a, greatest(a, b) AS asset_b FROM sim WHERE place <= 5",
 }
+ORACLE |= {
+    "p5_clusters": f"""WITH RECURSIVE {_POINTS}, {_LINKS}, c AS (SELECT f.project_id, m.label AS cluster_id, f.asset_id, f.h FROM m JOIN f ON f.asset_id = m.node),
+        z AS (SELECT *, unnest([0, 1, 2, 3]) AS band FROM c), y AS (SELECT *, ((h >> (16 * band)::UBIGINT) & 65535::UBIGINT) AS cell FROM z), n AS (SELECT cluster_id, band, cell, count(*) AS k FROM y GROUP BY ALL),
+        dense AS (SELECT cluster_id, asset_id, sum(k) AS density FROM y JOIN n USING (cluster_id, band, cell) GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY density DESC, asset_id) AS place FROM dense)
+        SELECT project_id, cluster_id, count(*) AS n_members, (SELECT string_agg(asset_id, ',' ORDER BY place) FROM t WHERE t.cluster_id = c.cluster_id AND place <= 3) AS typical_members FROM c GROUP BY project_id, cluster_id""",
+    "p6_neighbours": f"""WITH {_VECTORS.replace("y.asset_id AS b,", "y.asset_id AS b, x.k, round(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) AS cosine,")}
+        SELECT CASE WHEN vk = 'semantic' THEN 'semantic/' || k ELSE k END AS kind, a AS asset_id, b AS other, cosine, place::INT AS place FROM sim WHERE place <= 5""",
+}
