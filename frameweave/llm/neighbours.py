@@ -380,17 +380,20 @@ def asset_neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
     points, assets = index_points(vectors)
     near = cut(knn(points, k))
     place = F.row_number().over(W.partitionBy("kind", "copy").orderBy("asset_id"))
-    # The k + 1 smallest assets of each point: more can't be among anyone's k nearest.
-    few = assets.withColumn("p", place).where(F.col("p") <= k + 1).groupBy("kind", "copy").agg(F.sort_array(F.collect_list("asset_id")).alias("members"))
+    # The k + 1 smallest assets of each point: more can't be among anyone's k nearest.  One more tells whether there are others.
+    few = assets.withColumn("p", place).where(F.col("p") <= k + 2).groupBy("kind", "copy").agg(F.sort_array(F.collect_list("asset_id")).alias("members"))
     at = cut(merge_join(points.select("kind", "copy", "vid"), few, ["kind", "copy"]))
+    of_point = at.select("vid", F.slice("members", 1, k + 1).alias("members"))
     lists = near.select(F.col("vid").alias("of"), F.explode("near").alias("x")).select("of", F.col("x.vid").alias("vid"), F.col("x.neg").alias("neg"))
-    other = merge_join(lists, at.select("vid", "members"), "vid").select(F.col("of").alias("vid"), F.transform("members", lambda a: F.struct(F.col("neg").alias("neg"), a.alias("id"))).alias("l"))
-    own = at.select("vid", F.transform("members", lambda a: F.struct(F.lit(-1.0).alias("neg"), a.alias("id"))).alias("l"))
+    other = merge_join(lists, of_point, "vid").select(F.col("of").alias("vid"), F.transform("members", lambda a: F.struct(F.col("neg").alias("neg"), a.alias("id"))).alias("l"))
+    own = of_point.where(F.size("members") > 1).select("vid", F.transform("members", lambda a: F.struct(F.lit(-1.0).alias("neg"), a.alias("id"))).alias("l"))
     # At most k + 1 lists of k + 1 for each point.
-    pool = other.unionByName(own).groupBy("vid").agg(F.sort_array(F.flatten(F.collect_list("l"))).alias("pool"))
-    by_copy = merge_join(at.select("kind", "copy", "vid"), pool, "vid").select("kind", "copy", F.slice("pool", 1, 2 * k + 2).alias("pool"))
-    mine = salted_join(assets, by_copy, ["kind", "copy"], "asset_id", salts=4)
-    got = mine.select("kind", "asset_id", F.posexplode(F.slice(F.filter("pool", lambda x: x["id"] != F.col("asset_id")), 1, k)).alias("place", "x"))
+    pool = other.unionByName(own).groupBy("vid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("l"))), 1, 2 * k + 2).alias("pool"))
+    by_point = cut(merge_join(at, pool, "vid").select("kind", "copy", "members", "pool"))
+    # Points whose assets are all listed need no join with the assets, the others a salted one.
+    listed = by_point.where(F.size("members") <= k + 1).select("kind", F.explode("members").alias("asset_id"), "pool")
+    crowd = salted_join(assets, by_point.where(F.size("members") > k + 1).select("kind", "copy", "pool"), ["kind", "copy"], "asset_id").select("kind", "asset_id", "pool")
+    got = listed.unionByName(crowd).select("kind", "asset_id", F.posexplode(F.slice(F.filter("pool", lambda x: x["id"] != F.col("asset_id")), 1, k)).alias("place", "x"))
     return got.select("kind", "asset_id", F.col("x.id").alias("other"), (-F.col("x.neg")).alias("cosine"), (F.col("place") + 1).alias("place"))
 
 
