@@ -19,17 +19,21 @@ def _exposures(spark: SparkSession, sf: str) -> DataFrame:
     return latest_per_key(t, "asset_id", "ingested_at", ["capture_device_id", "captured_at_unix_ms"])
 
 
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The gap tree of each capture device, for any pause from the shortest to the longest of ``PROFILE_MS``."""
+    return gap_tree(_exposures(spark, sf), "capture_device_id", "captured_at_unix_ms", pauses=(min(PROFILE_MS), max(PROFILE_MS)))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of each capture device, cut from its gap tree at 30 minutes."""
-    tree = gap_tree(_exposures(spark, sf), "capture_device_id", "captured_at_unix_ms", pauses=(PAUSE_MS, PAUSE_MS))
-    return cut_sessions(tree, PAUSE_MS).select(
+    return cut_sessions(_tree(spark, sf), PAUSE_MS).select(
         F.col("entity").alias("capture_device_id"), F.col("start").alias("session_start_ms"), F.col("end").alias("session_end_ms"), F.col("n").alias("n_assets")
     )
 
 
 def p2_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions, mean length and size for several pauses, all from one tree."""
-    tree = cut(gap_tree(_exposures(spark, sf), "capture_device_id", "captured_at_unix_ms", pauses=(min(PROFILE_MS), max(PROFILE_MS))))
+    tree = cut(_tree(spark, sf))
     pause = F.explode(F.array(*[F.lit(p) for p in PROFILE_MS]))
     hit = (F.col("height") <= F.col("pause_ms")) & (F.col("parent_gap").isNull() | (F.col("parent_gap") > F.col("pause_ms")))
     return (
