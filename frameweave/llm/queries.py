@@ -176,3 +176,13 @@ ORACLE |= {
     "p6_neighbours": f"""WITH {_VECTORS.replace("y.asset_id AS b,", "y.asset_id AS b, x.k, round(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) AS cosine,")}
         SELECT CASE WHEN vk = 'semantic' THEN 'semantic/' || k ELSE k END AS kind, a AS asset_id, b AS other, cosine, place::INT AS place FROM sim WHERE place <= 5""",
 }
+# The plain steps of minorisation-maximisation, without components, buckets or shortcuts.
+ORACLE["p7_found"] = """WITH RECURSIVE
+    ch AS (SELECT preference_id, min({'c': chosen_asset_id, 'a': alternative_asset_id, 's': similarity_set_id}) AS x FROM pairwise_preference
+        WHERE training_eligible AND preference_id IS NOT NULL AND chosen_asset_id <> alternative_asset_id GROUP BY 1),
+    g AS (SELECT x.c AS i, x.a AS j, 1 AS won FROM ch UNION ALL SELECT x.a, x.c, 0 FROM ch), pr AS (SELECT i, j, count(*)::DOUBLE AS n FROM g GROUP BY 1, 2), w AS (SELECT i, sum(won) + 0.5::DOUBLE AS w FROM g GROUP BY 1),
+    it AS (SELECT 0 AS step, i, 1.0::DOUBLE AS pi FROM w
+        UNION ALL SELECT s.step + 1, s.i, any_value(w.w) / (sum(pr.n / (s.pi + o.pi)) + 1.0::DOUBLE / (any_value(s.pi) + 1)) FROM it s JOIN pr ON pr.i = s.i JOIN it o ON o.i = pr.j JOIN w ON w.i = s.i WHERE s.step < 1500 GROUP BY s.step, s.i),
+    st AS (SELECT i, ln(pi) AS s FROM it WHERE step = 1500), m AS (SELECT DISTINCT x.s AS k, unnest([x.c, x.a]) AS i FROM ch WHERE x.s IS NOT NULL),
+    r AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY round(s, 7) DESC, i) AS place, count(*) OVER (PARTITION BY k) AS n FROM m JOIN st USING (i))
+    SELECT k AS similarity_set_id, i AS asset_id FROM r WHERE place = 1 AND n >= 3"""
