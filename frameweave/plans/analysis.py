@@ -411,6 +411,52 @@ def tail_incremental(spark, sf):
     return classify_append(a.where(F.unix_millis("ingested_at") < _SPLIT_MS), a.where(F.unix_millis("ingested_at") >= _SPLIT_MS))
 
 
+_VALUES = "project_id capture_device_id captured_at_unix_ms camera_model lens_model orientation anonymous_face_count similar_set_ids filename_sequence technical_score decision rating starred".split()
+_BEFORE = ASSETS.replace("WHERE asset_id IS NOT NULL", f"WHERE asset_id IS NOT NULL AND epoch_ms(ingested_at) < {_SPLIT_MS}")
+_SINCE = ASSETS.replace("WHERE asset_id IS NOT NULL", f"WHERE asset_id IS NOT NULL AND epoch_ms(ingested_at) >= {_SPLIT_MS}")
+
+
+@query("append_raw", f"""WITH e AS (SELECT * FROM {_BEFORE} WHERE project_id IS NOT NULL), b AS (SELECT * FROM {_SINCE} WHERE project_id IS NOT NULL), tl AS (SELECT project_id AS p, max(captured_at_unix_ms) AS tail FROM e GROUP BY 1),
+    s AS (SELECT b.project_id AS bp, b.captured_at_unix_ms AS bt, e.project_id AS ep, e.captured_at_unix_ms AS et FROM b LEFT JOIN e ON e.asset_id = b.asset_id WHERE e.asset_id IS NULL OR {' OR '.join(f'b.{v} IS DISTINCT FROM e.{v}' for v in _VALUES)}),
+    u AS (SELECT bp AS p, bt AS t, 1 AS one FROM s UNION ALL SELECT ep, et, 0 FROM s WHERE et IS NOT NULL), a AS (SELECT p, sum(one)::BIGINT AS n_new, min(t) AS f, count(t) AS d FROM u GROUP BY 1), w AS (SELECT project_id AS p FROM b UNION SELECT p FROM u WHERE one = 0)
+    SELECT w.p AS project_id, coalesce(n_new, 0) AS n_new, CASE WHEN d IS NULL THEN 'no_change' WHEN d = 0 THEN 'undated_only' WHEN tail IS NULL OR f > tail THEN 'tail' ELSE 'rebuild' END AS disposition FROM w LEFT JOIN a ON a.p = w.p LEFT JOIN tl ON tl.p = w.p""")
+def append_raw(spark, sf):
+    """What all rows delivered from a date on ask of each timeline, assets known before with other values among them."""
+    from ..operators.readmodels import latest_by
+    from ..streaming.replay import classify_append
+
+    rows = load(spark, sf, "timeline_asset").where("asset_id is not null")
+    late = F.unix_millis("ingested_at") >= _SPLIT_MS
+    before, since = (latest_by(rows.where(x), "asset_id", ["ingested_at"]).where("project_id is not null") for x in (~late, late))
+    return classify_append(before, since)
+
+
+@query("changed_sets", f"""WITH t AS (SELECT * FROM {ASSETS} WHERE project_id IS NOT NULL), k AS (SELECT project_id, max(captured_at_unix_ms) AS tail FROM t WHERE epoch_ms(ingested_at) < {_SPLIT_MS} GROUP BY 1),
+    m AS (SELECT t.project_id, captured_at_unix_ms AS c, tail, epoch_ms(ingested_at) >= {_SPLIT_MS} AND rating IS NOT NULL AS said FROM t LEFT JOIN k ON k.project_id = t.project_id),
+    g AS (SELECT project_id, count(*) FILTER (said) AS n, count(*) FILTER (said AND c IS NOT NULL) AS dated, count(*) FILTER (c IS NOT NULL AND CASE WHEN said THEN tail IS NULL OR c <= tail ELSE c > tail END) AS bad FROM m GROUP BY 1)
+    SELECT project_id, CASE WHEN n = 0 THEN 'no_change' WHEN dated = 0 THEN 'undated_only' WHEN bad = 0 THEN 'tail' ELSE 'rebuild' END AS disposition FROM g""")
+def changed_sets(spark, sf):
+    """What a declared set of changed assets (the rated ones of a date on) asks of each timeline."""
+    from ..streaming.replay import classify_changed
+
+    a = cut(assets(spark, sf).where("project_id is not null"))
+    late = F.unix_millis("ingested_at") >= _SPLIT_MS
+    tails = a.where(~late).groupBy("project_id").agg(F.max("captured_at_unix_ms").alias("tail"))
+    return classify_changed(a, a.where(late & F.col("rating").isNotNull()).select("asset_id"), tails)
+
+
+@query("label_states", f"""WITH {_CENT}, s AS (SELECT e.vec_id, c.label, list_dot_product(e.embedding::DOUBLE[], c.v) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS sim FROM embeddings e, c),
+    r AS (SELECT *, row_number() OVER w AS r, lead(sim) OVER w AS second FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY sim DESC, label))
+    SELECT e.vec_id, CASE WHEN e.vec_id % 4 = 0 THEN 'semantic_evidence_unavailable' WHEN e.vec_id % 4 < 2 OR NOT coalesce(sim >= 0.32::DOUBLE AND (second IS NULL OR sim - second >= 0.06::DOUBLE), false) THEN 'abstained' ELSE 'suggested' END AS state
+    FROM embeddings e LEFT JOIN r ON r.vec_id = e.vec_id AND r.r = 1""")
+def label_states(spark, sf):
+    """P20: whether each vector's best label is suggested, with two supporting vectors as the least (none to three are given)."""
+    e = load(spark, sf, "embeddings")
+    c = cut(V.centroids(e, "label").select("label", F.col("centroid").alias("vector")))
+    found = V.label_candidates(e.select("vec_id", F.col("embedding").alias("vector")), c, "vec_id", "label")
+    return V.label_state(e.select("vec_id", (F.col("vec_id") % 4).alias("n_vectors")), found, "vec_id", 2)
+
+
 @query("stream_replay", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")
 def stream_replay(spark, sf):
     """The events as a file stream, one micro-batch each, collected by batch and rolled up."""
