@@ -368,6 +368,15 @@ def predict_abstain(spark, sf):
     return P.decide(P.with_probabilities(rows, FIXED)).select("asset_id", "decision", "strength", F.round("top", 6).alias("top"))
 
 
+@query("metrics_probability", f"""WITH z AS (SELECT label, (CASE WHEN s IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, s)) END - 0.6::DOUBLE) / 0.2::DOUBLE AS x, ((s IS NOT NULL)::INT - 1.0::DOUBLE) / 0.5::DOUBLE AS y FROM {_OBS}),
+    e AS (SELECT label, exp((1.2::DOUBLE * x + 0.1::DOUBLE * y + 0.1::DOUBLE) / 0.9::DOUBLE) AS a, exp((0.1::DOUBLE * x) / 0.9::DOUBLE) AS b, exp((-1.3::DOUBLE * x - 0.1::DOUBLE * y - 0.1::DOUBLE) / 0.9::DOUBLE) AS c FROM z), p AS (SELECT label, [a, b, c] AS e, a + b + c AS t FROM e)
+    SELECT round(avg(-ln(greatest(e[label + 1] / t, 1e-7::DOUBLE))), 6) AS log_loss, round(avg(((e[1] / t - (label = 0)::INT) ** 2 + (e[2] / t - (label = 1)::INT) ** 2 + (e[3] / t - (label = 2)::INT) ** 2) / 3), 6) AS brier FROM p""")
+def metrics_probability(spark, sf):
+    """Log-loss and Brier score of fixed weights."""
+    rows = observations(spark, sf).select("label", F.slice("features", 1, 2).alias("features"))
+    return metrics.probability_scores(P.with_probabilities(rows, FIXED)).select(F.round("log_loss", 6).alias("log_loss"), F.round("brier", 6).alias("brier"))
+
+
 @query("softmax_fit")
 def softmax_fit(spark, sf):
     """Fit on the training projects, calibrate and evaluate on the held-out ones."""

@@ -220,6 +220,16 @@ def ordered_checksums(spark: SparkSession, sf: str) -> DataFrame:
     return selection.ordered_checksum(placed, "project_id", "sequence", ["asset_id", "rating"])
 
 
+BANDS = [(80.0, 1.0, 1.0, "strong"), (76.0, 4.9, 11.9, "strong"), (90.0, 5.0, 0.0, "good"), (90.0, 0.0, 12.0, "good"), (75.9, 0.0, 0.0, "good"), (54.0, 50.0, 50.0, "good"), (53.9, 0.0, 0.0, "review"), (30.0, 0.0, 0.0, "review"), (29.9, 0.0, 0.0, "technical_issue"), (None, 0.0, 0.0, None)]
+
+
+@query("band_cases", _values("i, band", [(i, b[3]) for i, b in enumerate(BANDS)]))
+def band_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Bands of scores with clipped highlights and shadows."""
+    rows = spark.createDataFrame([(i, *b[:3]) for i, b in enumerate(BANDS)], "i int, score double, highlights double, shadows double")
+    return rows.select("i", X.quality_band("score", "highlights", "shadows").alias("band"))
+
+
 # features and helpers -----------------------------------------------------------
 
 
