@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.captime import ABBREVIATIONS
 from ..operators.sessions import cut_sessions, gap_tree, latest_per_key
 from ..operators.timestamps import choose_by_order, with_interpretations
 from ..session import cut, load
@@ -101,3 +102,36 @@ ORACLE = {
         z AS (SELECT pause_ms, d, k, max(t) - min(t) AS ms, count(*) AS n FROM s GROUP BY pause_ms, d, k)
         SELECT pause_ms, count(*) AS n_sessions, sum(n)::BIGINT AS n_assets, max(n) AS largest, sum(ms)::BIGINT AS total_ms FROM z GROUP BY pause_ms""",
 }
+
+# Read by patterns and the database's own zones: of the wall times of a region those are kept that exactly one instant shows.
+_EAST = ", ".join(f"('{k}', {v})" for k, v in ABBREVIATIONS.items())
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:\s*[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\.?)?\s*(.*)$"
+_NAMES = "['a','b','c','H','M','S','f','ap','z']"
+ORACLE["p3_found"] = rf"""WITH rows AS (
+      SELECT 'metadata' AS record_kind, metadata_id AS record_id, captured_at_raw AS v, capture_timezone AS tz, capture_time_source AS tag, observed_at AS t FROM media_metadata
+      UNION ALL SELECT 'candidate', candidate_id, local_value, tz_value, source_tag, observed_at FROM capture_time_candidate),
+    one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_kind, record_id ORDER BY v, tz NULLS FIRST, tag NULLS FIRST, t NULLS FIRST) AS rn FROM rows WHERE record_id IS NOT NULL AND v IS NOT NULL) WHERE rn = 1),
+    c AS (SELECT record_kind, record_id, trim(regexp_replace(regexp_replace(v, '[\x00-\x08\x0e-\x1f\x7f\x{{feff}}]', '', 'g'), '[\s\x{{a0}}\x{{2000}}-\x{{200b}}\x{{202f}}\x{{3000}}]+', ' ', 'g')) AS v, tz FROM one),
+    num AS (SELECT record_kind, record_id, regexp_extract(v, '^(\d{{9,10}}|\d{{12,13}}|\d{{15,16}}|\d{{18,19}})(?:[.,](\d+))?$', ['w', 'f']) AS x FROM c WHERE regexp_full_match(v, '(\d{{9,10}}|\d{{12,13}}|\d{{15,16}}|\d{{18,19}})([.,]\d+)?')),
+    epoch AS (SELECT record_kind, record_id, CASE WHEN len(x.w) >= 18 THEN x.w::BIGINT // 1000 WHEN len(x.w) >= 15 THEN x.w::BIGINT WHEN len(x.w) >= 12 THEN x.w::BIGINT * 1000 + rpad(left(x.f, 3), 3, '0')::BIGINT ELSE x.w::BIGINT * 1000000 + rpad(left(x.f, 6), 6, '0')::BIGINT END AS us FROM num),
+    shaped AS (SELECT record_kind, record_id, tz, CASE
+          WHEN regexp_matches(v, '^\d{{4}}[:/.-]\d{{1,2}}[:/.-]\d{{1,2}}(\s*[Tt]\s*|\s+)\d{{1,2}}:\d{{2}}') THEN 'ymd' WHEN regexp_matches(v, '^\d{{8}}[Tt_ -]?\d{{4}}(\d{{2}})?([.,]\d+)?([^\d]|$)') THEN 'compact'
+          WHEN regexp_matches(v, '^\d{{1,2}}/\d{{1,2}}/\d{{4}}(\s*[Tt,]\s*|\s+)\d{{1,2}}:\d{{2}}') THEN 'slash' WHEN regexp_matches(v, '^\d{{1,2}}\.\d{{1,2}}\.\d{{4}}(\s*[Tt,]\s*|\s+)\d{{1,2}}:\d{{2}}') THEN 'dotted'
+          WHEN regexp_matches(v, '^([A-Za-z]{{3}},\s*)?\d{{1,2}}\s+[A-Za-z]{{3,}}\s+\d{{4}}\s+\d{{1,2}}:\d{{2}}') THEN 'mail' END AS shape, v FROM c ANTI JOIN num USING (record_kind, record_id)),
+    parts AS (SELECT record_kind, record_id, tz, shape, CASE shape
+          WHEN 'ymd' THEN regexp_extract(v, '^(\d{{4}})[:/.-](\d{{1,2}})[:/.-](\d{{1,2}})(?:\s*[Tt]\s*|\s+){_CLOCK}', {_NAMES}) WHEN 'compact' THEN regexp_extract(v, '^(\d{{4}})(\d{{2}})(\d{{2}})[Tt_ -]?(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d+))?)?()\s*(.*)$', {_NAMES})
+          WHEN 'slash' THEN regexp_extract(v, '^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:\s*[Tt,]\s*|\s+){_CLOCK}', {_NAMES}) WHEN 'dotted' THEN regexp_extract(v, '^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:\s*[Tt,]\s*|\s+){_CLOCK}', {_NAMES})
+          WHEN 'mail' THEN regexp_extract(v, '^(?:[A-Za-z]{{3}},\s*)?(\d{{1,2}})\s+([A-Za-z]{{3}})[a-z]*\s+(\d{{4}})\s+{_CLOCK}', {_NAMES}) END AS x FROM shaped WHERE shape IS NOT NULL AND (shape <> 'ymd' OR v[5] = regexp_extract(v, '^\d{{4}}.\d{{1,2}}(.)', 1))),
+    dated AS (SELECT *, CASE WHEN shape IN ('ymd', 'compact') THEN x.a ELSE x.c END AS y, CASE shape WHEN 'slash' THEN x.a WHEN 'mail' THEN nullif(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(x.b)), 0)::VARCHAR ELSE x.b END AS m,
+          CASE WHEN shape IN ('ymd', 'compact') THEN x.c WHEN shape = 'slash' THEN x.b ELSE x.a END AS d, CASE WHEN x.ap = '' THEN try_cast(x.H AS INT) WHEN try_cast(x.H AS INT) BETWEEN 1 AND 12 THEN try_cast(x.H AS INT) % 12 + CASE WHEN lower(x.ap) = 'p' THEN 12 ELSE 0 END END AS h,
+          CASE WHEN regexp_matches(x.z, '^.*\[[^\]]*\]$') THEN coalesce(nullif(trim(regexp_extract(x.z, '^(.*?)\s*\[([^\]]*)\]$', 1)), ''), regexp_extract(x.z, '^(.*?)\s*\[([^\]]*)\]$', 2)) WHEN trim(x.z) <> '' THEN x.z ELSE tz END AS zone FROM parts WHERE x.H <> ''),
+    walls AS (SELECT record_kind, record_id, try_cast(lpad(y, 4, '0') || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') || ' ' || lpad(h::VARCHAR, 2, '0') || ':' || x.M || ':' || CASE WHEN x.S = '' THEN '00' ELSE x.S END AS TIMESTAMP) AS wall, h, x.S AS s, rpad(left(x.f, 6), 6, '0')::BIGINT AS us,
+          trim(regexp_replace(regexp_replace(replace(replace(zone, chr(8722), '-'), chr(8211), '-'), '[\x00-\x08\x0e-\x1f\x7f\x{{feff}}]', '', 'g'), '[\s\x{{a0}}\x{{2000}}-\x{{200b}}\x{{202f}}\x{{3000}}]+', ' ', 'g')) AS zone FROM dated WHERE h < 24 AND try_cast(x.M AS INT) < 60 AND (x.S = '' OR try_cast(x.S AS INT) < 60)),
+    ab(name, east) AS (VALUES {_EAST}), reg AS (SELECT DISTINCT lower(name) AS low, first(name) AS name FROM pg_timezone_names() WHERE contains(name, '/') AND NOT regexp_matches(lower(name), '^(posix|right|systemv)/') GROUP BY 1),
+    placed AS (SELECT w.*, coalesce(ab.east, CASE WHEN regexp_matches(zone, '(?i)^(utc|gmt)?\s*[+-]\d{{1,2}}(:?\d{{2}})?$') THEN CASE WHEN mi < 60 AND hh * 60 + mi <= 840 THEN (hh * 60 + mi) * CASE WHEN contains(zone, '-') THEN -1 ELSE 1 END ELSE NULL END END) AS east, reg.name AS region
+          FROM (SELECT *, coalesce(try_cast(regexp_extract(zone, '[+-](\d{{1,2}}):?(\d{{2}})?$', 1) AS INT), 0) AS hh, coalesce(try_cast(regexp_extract(zone, '[+-](\d{{1,2}}):?(\d{{2}})?$', 2) AS INT), 0) AS mi FROM walls WHERE wall IS NOT NULL AND zone <> '') w
+          LEFT JOIN ab ON ab.name = upper(zone) LEFT JOIN reg ON reg.low = replace(lower(zone), ' ', '_')),
+    fixed AS (SELECT record_kind, record_id, epoch_us(wall) - east * 60000000::BIGINT + us AS utc_us FROM placed WHERE east IS NOT NULL),
+    guess AS (SELECT DISTINCT record_kind, record_id, us, epoch_us(timezone(region, wall)) + unnest([-7200, -5400, -3600, -1800, 0, 1800, 3600, 5400, 7200]) * 1000000::BIGINT AS inst, region, wall FROM placed WHERE east IS NULL AND region IS NOT NULL),
+    hits AS (SELECT record_kind, record_id, min(inst) + any_value(us) AS utc_us, count(*) AS n FROM guess WHERE timezone(region, make_timestamptz(inst)) = wall GROUP BY 1, 2)
+    SELECT record_kind, record_id, us AS utc_us FROM epoch UNION ALL SELECT * FROM fixed UNION ALL SELECT record_kind, record_id, utc_us FROM hits WHERE n = 1"""
