@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import bucket, digest
 from ..session import cut, merge_join
 from .components import connected_components
-from .similarity import color_similarity, cosine_unit, hamming, visual_similarity
+from .similarity import color_similarity, cosine_unit, hamming, square, visual_similarity
 
 KIND_PRIORITY = {"exact": 0, "near": 1, "burst": 2, "similar": 3}
 
@@ -77,9 +77,9 @@ def score_pairs(pairs: DataFrame, assets: DataFrame) -> DataFrame:
 
     Invalid hashes count as distance 64; pairs of assets not in ``assets`` are dropped.
     """
-    side = lambda p: _slim(assets).select("project_id", F.col("asset_id").alias(p), *[F.col(x).alias(f"{p}_{x}") for x in ("perceptual_hash", "color_signature", "embedding", "camera_model", "captured_at_s")])
+    side = lambda p: _slim(assets).select("project_id", F.col("asset_id").alias(p), *[F.col(x).alias(f"{p}_{x}") for x in ("perceptual_hash", "color_signature", "embedding", "camera_model", "captured_at_s")], square("embedding").alias(f"{p}_square"))
     both = pairs.select("project_id", "a", "b").join(side("a"), ["project_id", "a"]).join(side("b"), ["project_id", "b"])
-    both = both.withColumns({"perceptual_distance": hamming("a_perceptual_hash", "b_perceptual_hash"), "color_similarity": color_similarity("a_color_signature", "b_color_signature"), "embedding_similarity": cosine_unit("a_embedding", "b_embedding")})
+    both = both.withColumns({"perceptual_distance": hamming("a_perceptual_hash", "b_perceptual_hash"), "color_similarity": color_similarity("a_color_signature", "b_color_signature"), "embedding_similarity": cosine_unit("a_embedding", "b_embedding", F.col("a_square"), F.col("b_square"))})
     both = both.withColumn("visual_similarity", visual_similarity(F.col("perceptual_distance"), F.col("color_similarity"), F.col("embedding_similarity")))
     return both.select("project_id", "a", "b", "perceptual_distance", "visual_similarity", "color_similarity", "embedding_similarity", "a_camera_model", "b_camera_model", "a_captured_at_s", "b_captured_at_s")
 

@@ -35,11 +35,22 @@ def color_similarity(a: str | Column, b: str | Column) -> Column:
     return F.when((n > 0) & (n == F.size(b)), 1.0 - l1.cast("double") / (n * 255.0)).otherwise(F.lit(0.0))
 
 
-def cosine_unit(a: str | Column, b: str | Column) -> Column:
-    """(cosine + 1) / 2 of two integer vectors, within [0, 1]; 0 for null or empty ones or unequal lengths, 0.5 for an all-zero one."""
+def _times(x: Column, y: Column) -> Column:
+    return F.coalesce(x, F.lit(0)).cast("int") * F.coalesce(y, F.lit(0)).cast("int")
+
+
+def square(a: str | Column) -> Column:
+    """The sum of squares of an integer vector, to be worked out once for a row that takes part in many pairs."""
+    return _sum(F.transform(_c(a), lambda x: _times(x, x)))
+
+
+def cosine_unit(a: str | Column, b: str | Column, aa: Column | None = None, bb: Column | None = None) -> Column:
+    """(cosine + 1) / 2 of two integer vectors, within [0, 1]; 0 for null or empty ones or unequal lengths, 0.5 for an all-zero one.
+
+    ``aa`` and ``bb`` are their :func:`square` if known.
+    """
     a, b = _c(a), _c(b)
-    times = lambda x, y: F.coalesce(x, F.lit(0)).cast("int") * F.coalesce(y, F.lit(0)).cast("int")
-    dot, aa, bb = _sum(F.zip_with(a, b, times)), _sum(F.transform(a, lambda x: times(x, x))), _sum(F.transform(b, lambda x: times(x, x)))
+    dot, aa, bb = _sum(F.zip_with(a, b, _times)), square(a) if aa is None else aa, square(b) if bb is None else bb
     cos = dot.cast("double") / (F.sqrt(aa.cast("double")) * F.sqrt(bb.cast("double")))
     unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos + 1.0) / 2.0))
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)), F.when((aa > 0) & (bb > 0), unit).otherwise(F.lit(0.5))).otherwise(F.lit(0.0))
