@@ -193,7 +193,7 @@ def describe(members: DataFrame, typical: int = 3) -> DataFrame:
     cells = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), _band(F.col("bits"), b).alias("value")) for b in range(BANDS)])).alias("cell")
     placed = members.select("cluster_id", "asset_id", cells).select("cluster_id", "asset_id", "cell.*")
     dense = placed.groupBy("cluster_id", "band", "value").agg(F.count(F.lit(1)).alias("n"))
-    score = salted_join(placed, dense, ["cluster_id", "band", "value"], "asset_id").groupBy("cluster_id", "asset_id").agg(F.sum("n").alias("density"))
+    score = salted_join(placed, dense, ["cluster_id", "band", "value"], "asset_id", salts=4).groupBy("cluster_id", "asset_id").agg(F.sum("n").alias("density"))
     rank = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("density"), "asset_id"))
     top = score.withColumn("rank", rank).where(F.col("rank") <= typical).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rank", "asset_id"))).alias("t"))
     sizes = members.groupBy("project_id", "cluster_id").agg(F.count(F.lit(1)).alias("n_members"))
