@@ -217,13 +217,16 @@ def knn_hybrid_many(spark, sf):
     return V.knn_many(e, _asked(e), where=F.col("label") == 3).withColumn("score", F.round("score", 6))
 
 
-@query("lsh_signatures")
+@query("lsh_signatures", """WITH pl AS (SELECT t, b, list(CASE WHEN ('0x' || substr(md5(t || ':' || b || ':' || d), 1, 2))::INT & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS v
+        FROM (SELECT unnest(range(4)) AS t), (SELECT unnest(range(16)) AS b), (SELECT unnest(range(64)) AS d) GROUP BY 1, 2)
+    SELECT vec_id, t::INT AS "table", sum(CASE WHEN list_dot_product(embedding::DOUBLE[], v) >= 0 THEN 1 << b::INT ELSE 0 END)::INT AS signature FROM embeddings, pl WHERE len(embedding) = 64 GROUP BY 1, 2""")
 def lsh_signatures(spark, sf):
     """The bucket table of all vectors."""
     return V.with_signatures(load(spark, sf, "embeddings"), 64)
 
 
-@query("lsh_probe")
+# The exact search: what the operator gives for tables of up to 4,096 vectors.
+@query("lsh_probe", _nearest_sql("true"))
 def lsh_probe(spark, sf):
     """The ten nearest of every 50th vector: exact up to 4,096 vectors, else from its buckets and their one-bit neighbours."""
     e = load(spark, sf, "embeddings")
