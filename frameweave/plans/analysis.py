@@ -111,7 +111,25 @@ def boundary_explanations(spark, sf):
     return both.select("project_id", F.col("asset_id").alias("right_asset_id"), explain_boundary("category", T.signals()).alias("explanation"))
 
 
-@query("boundaries_semantic")
+# Contexts as lists of up to four vectors on either side of each pair, for every key of a project.
+_CONTEXT = """vec AS (SELECT asset_id, compatibility_key AS key, vector_values::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, compatibility_key ORDER BY embedded_at DESC NULLS LAST, vector_values DESC NULLS LAST) AS n
+        FROM semantic_vector WHERE asset_id IS NOT NULL AND compatibility_key IS NOT NULL) WHERE n = 1),
+    ks AS (SELECT DISTINCT project_id, key FROM t JOIN vec USING (asset_id)),
+    ln AS (SELECT t.project_id, ks.key, t.asset_id, captured_at_unix_ms AS at_ms, {'ok': coalesce(len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0, false), 'd': len(v), 'v': v} AS item
+        FROM t JOIN ks ON ks.project_id = t.project_id LEFT JOIN vec ON vec.asset_id = t.asset_id AND vec.key = ks.key),
+    fr AS (SELECT project_id, key, asset_id, list_reverse(list(item) OVER (o ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) AS l, list(item) OVER (o ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS r FROM ln WINDOW o AS (PARTITION BY project_id, key ORDER BY at_ms, asset_id)),
+    fc AS (SELECT *, l[1].d AS d FROM fr WHERE l[1].ok),
+    cu AS (SELECT project_id, key, asset_id, l[1:coalesce(nullif(list_position(list_transform(l, lambda x: x.ok AND x.d = d), false), 0) - 1, len(l))] AS l, r[1:coalesce(nullif(list_position(list_transform(r, lambda x: x.ok AND x.d = d), false), 0) - 1, len(r))] AS r FROM fc),
+    ce AS (SELECT project_id, key, asset_id, len(l) + len(r) AS n, list_reduce(list_transform(l, lambda x: x.v), lambda a, b: list_transform(list_zip(a, b), lambda p: p[1] + p[2])) AS a, list_reduce(list_transform(r, lambda x: x.v), lambda a, b: list_transform(list_zip(a, b), lambda p: p[1] + p[2])) AS b FROM cu WHERE len(l) > 0 AND len(r) > 0),
+    co AS (SELECT project_id, key, asset_id, n, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS sim FROM ce WHERE list_dot_product(a, a) > 0 AND list_dot_product(b, b) > 0),
+    sm AS (SELECT project_id, asset_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY project_id, asset_id ORDER BY n DESC, key) AS place FROM co) WHERE place = 1)"""
+
+
+@query("boundaries_semantic", f"""WITH {_BOUND}, {_CONTEXT},
+    zz AS (SELECT z.*, CASE WHEN sim IS NULL THEN 0 ELSE 0.34{_S} END AS w7, CASE WHEN sim IS NULL THEN 0 WHEN sim <= 0.58{_S} THEN 0.34{_S} WHEN sim >= 0.88{_S} THEN -0.34{_S} * (sim - 0.88{_S}) / (1.0{_S} - 0.88{_S}) ELSE 0.34{_S} * (0.88{_S} - sim) / (0.88{_S} - 0.58{_S}) END AS n7
+        FROM z LEFT JOIN sm ON sm.project_id = z.project_id AND sm.asset_id = z.asset_id),
+    s7 AS (SELECT *, w1 + w2 + w3 + w4 + w5 + w6 + w7 AS w, n1 + n2 + n3 + n4 + n5 + n6 + n7 AS n FROM zz), c7 AS (SELECT *, CASE WHEN w > 0 THEN least(1.0{_S}, greatest(0.0{_S}, n / w)) END AS sc7 FROM s7)
+    SELECT project_id, p_asset_id AS left_asset_id, asset_id AS right_asset_id, round(sc7, 6) AS score, CASE WHEN sc7 IS NULL THEN 'insufficient' WHEN sc7 >= 0.60{_S} THEN 'strong' WHEN sc7 >= 0.32{_S} THEN 'moderate' ELSE 'continuous' END AS category FROM c7""")
 def boundaries_semantic(spark, sf):
     """All signals, with the context centroids of the vectors of every key."""
     return _bounds(spark, sf, None, True)[1].withColumn("score", F.round("score", 6))
