@@ -68,7 +68,7 @@ def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """The globally strongest asset of each set with three or more compared assets."""
     choices = cut(counting_choices(load(spark, sf, "pairwise_preference")))
-    return set_winners(choices, strengths(choices))
+    return set_winners(choices, strengths(choices, errors=False))
 
 
 def p7_ranking(spark: SparkSession, sf: str) -> DataFrame:
